@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from skein.plans import problems
+from skein.plans import problems, queries
 
-FLAGSHIP = "p5_found"
-QUERIES = {**problems.QUERIES}
-ORACLES = {**problems.ORACLES}
+FLAGSHIP = "corpus_edges"
+QUERIES = {**problems.QUERIES, **queries.QUERIES}
+ORACLES = {**problems.ORACLES, **queries.ORACLES}
