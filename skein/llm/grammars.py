@@ -355,6 +355,8 @@ def python_tokens(text: str) -> Iterator[Token]:
                 depth = max(depth, 0)
                 yield word, at
         at = m.end()
+    if depth:  # the text stops inside brackets
+        return
     if not ended:
         yield "NEWLINE", at
     for _ in indents[1:]:
@@ -438,4 +440,4 @@ def _unclosed(text: str, at: int, lang: str) -> bool:
     """Whether what is no token is a literal, comment or tag that the end of the text cuts off."""
     if lang == "xml":
         return text.startswith("<", at) and ">" not in text[at:]
-    return text.startswith(("/*", "'", '"', "[", "N'", "n'"), at)
+    return text.startswith({"json": '"', "python": ("'", '"')}.get(lang, ("/*", "'", '"', "[", "N'", "n'")), at)
