@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import cached_property
+from typing import NamedTuple
 
 # Lexemes in order of preference. White space and comments give no token; of a
 # block comment that never ends, the last character remains.
@@ -34,15 +36,11 @@ NO_ALIAS = {
 }
 
 
-@dataclass(frozen=True)
-class Token:
+class Token(NamedTuple):
     kind: str
     value: str
     position: int
-
-    @property
-    def word(self) -> str:
-        return self.value.upper() if self.kind == "identifier" else ""
+    word: str  # an identifier in upper case, else empty
 
 
 def tokenize(text: str) -> list[Token]:
@@ -50,8 +48,13 @@ def tokenize(text: str) -> list[Token]:
     out = []
     for m in _LEXEME.finditer(text):
         kind = m.lastgroup
-        if kind != "skip":
-            out.append(Token("identifier" if kind == "sigil" else kind, m.group(), m.start()))
+        if kind == "skip":
+            continue
+        value = m.group()
+        if kind == "identifier" or kind == "sigil":
+            out.append(Token("identifier", value, m.start(), value.upper()))
+        else:
+            out.append(Token(kind, value, m.start(), ""))
     return out
 
 
@@ -60,6 +63,8 @@ _PART = re.compile(r"((?:\[[^\]]*(?:\]\][^\]]*)*\]?|[^.\[])*)(?:\.|\Z)")
 
 def name_parts(value: str) -> list[str]:
     """The parts of a qualified name: split outside brackets, unquoted, blank ones dropped."""
+    if "[" not in value:
+        return [p for p in map(str.strip, value.split(".")) if p]
     raw = (m.group(1).strip() for m in _PART.finditer(value))
     return [p[1:-1].replace("]]", "]") if len(p) > 1 and p[0] == "[" and p[-1] == "]" else p for p in raw if p]
 
@@ -98,13 +103,19 @@ class Statement:
     def __init__(self, tokens: list[Token]):
         self.tokens = tokens
         self.words = [t.word for t in tokens]
-        self.after_close = [len(tokens)] * len(tokens)
+        self.has = set(self.words)
+
+    @cached_property
+    def after_close(self) -> list[int]:
+        """For each opening parenthesis the index behind the one that closes it."""
+        out = [len(self.tokens)] * len(self.tokens)
         opened: list[int] = []
-        for i, t in enumerate(tokens):
+        for i, t in enumerate(self.tokens):
             if t.value == "(":
                 opened.append(i)
             elif t.value == ")" and opened:
-                self.after_close[opened.pop()] = i + 1
+                out[opened.pop()] = i + 1
+        return out
 
     def value(self, i: int) -> str:
         return self.tokens[i].value if i < len(self.tokens) else ""
@@ -119,7 +130,7 @@ class Statement:
     # -- definitions
     def definition(self) -> tuple[str, int, int | None] | None:
         """(object type, index of CREATE, index of the name) of what the statement defines."""
-        if "CREATE" not in self.words:
+        if "CREATE" not in self.has:
             return None
         create = self.words.index("CREATE")
         for i in range(create + 1, len(self.words)):
@@ -167,11 +178,15 @@ class Statement:
 
     # -- evidence
     def variables(self) -> list[str]:
+        if self.has.isdisjoint(("DECLARE", "SET")):
+            return []
         pairs = zip(self.words, self.tokens[1:], strict=False)
         return [t.value for w, t in pairs if w in ("DECLARE", "SET") and t.kind == "identifier" and t.value[0] == "@"]
 
     def call(self) -> tuple[str | None, bool] | None:
         """(target, dynamic) of the first EXEC, EXECUTE or SP_EXECUTESQL; target None if it is not static."""
+        if self.has.isdisjoint(("EXEC", "EXECUTE", "SP_EXECUTESQL")):
+            return None
         for i, word in enumerate(self.words):
             if word == "SP_EXECUTESQL":
                 return "sp_executesql", True
@@ -186,7 +201,7 @@ class Statement:
 
     def cte_names(self) -> set[str]:
         names: set[str] = set()
-        for i, word in enumerate(self.words):
+        for i, word in enumerate(self.words) if "WITH" in self.has else ():
             at = i + 1
             while word == "WITH" and self.is_name(at):
                 body = self.past_group(at + 1)
@@ -209,6 +224,8 @@ class Statement:
 
     def relations(self) -> list[tuple[str, str | None, str | None]]:
         """(name, schema, database) of the relations read or written, in order of evidence."""
+        if self.has.isdisjoint(RELATION_WORDS | {"MERGE", "REFERENCES", "UPDATE"}):
+            return []
         ctes = self.cte_names()
 
         def transient(value: str) -> bool:
@@ -329,8 +346,8 @@ class _Scopes:
             self.owner  # noqa: B018  a relation opens a script even if its name is blank
             if name.strip():
                 self.owner.refer(name, schema, database, "reference")
-        for t in s.tokens:
-            if t.kind == "identifier" and t.value[0] == "#":
+        for word, t in zip(s.words, s.tokens, strict=True):
+            if word and word[0] == "#":
                 self.owner.hold(t.value)
 
     def _define(self, s: Statement, object_type: str, create: int, named: int | None) -> None:

@@ -78,9 +78,12 @@ def number_rows(
     row; ``_prev_x`` is ``x`` of the row before, null on a key's first row. Rows
     whose key is null are dropped, null sums count as 0. Rows equal in key and
     order are placed side by side in an order that is fixed once written.
-    An empty input gives an empty result.
+    An empty input gives an empty result. Columns of the input that are named
+    like an added or internal one (leading underscore) are left out.
     """
-    cols = [c for c in df.columns]
+    taken = {"_pid", "_pos", "_tie", "_n", "_last", "_o", "_before", *(f"{p}{s}" for s in sums for p in ("_run_", "_s_", "_o_")), *(f"_prev_{p}" for p in previous)}
+    df = df.select(*[c for c in df.columns if c.lower() not in taken or c in (key, *order_by, *sums, *previous)])
+    cols = df.columns
     df = df.filter(F.col(key).isNotNull()).withColumns({s: F.coalesce(F.col(s).cast("long"), F.lit(0)) for s in sums})
     # Repeated rows tie in every column; the last sort key spreads even those.
     tied = df.withColumn("_tie", F.monotonically_increasing_id())

@@ -85,8 +85,8 @@ def strong_components(edges: DataFrame) -> DataFrame:
     left = materialize(edges.select("src_key", "dst_key").filter("src_key <> dst_key").distinct(), "scc-edges")
     found: list[DataFrame] = []
     while True:
-        left = _trim(left)
-        if left.isEmpty():
+        left, n = _trim(left)
+        if not n:
             break
         colours = _flood(left.select("src_key", "dst_key"), left.select(F.col("src_key").alias("node_key")).unionByName(left.select(F.col("dst_key").alias("node_key"))).distinct())
         inside = _same_colour(left, colours)
@@ -105,8 +105,8 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return out.join(least, "component").select("node_key", F.col("least").alias("component"))
 
 
-def _trim(edges: DataFrame) -> DataFrame:
-    """Edges whose source is some target and whose target is some source, until none falls away."""
+def _trim(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Edges whose source is some target and whose target is some source, until none falls away; and their number."""
     before = None
     while True:
         kept = edges.join(edges.select(F.col("dst_key").alias("src_key")).distinct(), "src_key", "left_semi").join(edges.select(F.col("src_key").alias("dst_key")).distinct(), "dst_key", "left_semi")
@@ -114,7 +114,7 @@ def _trim(edges: DataFrame) -> DataFrame:
         release(edges)
         edges = kept
         if n["n"] == before or n["n"] == 0:
-            return edges
+            return edges, n["n"]
         before = n["n"]
 
 
@@ -156,7 +156,7 @@ def cycles(graph: Graph) -> DataFrame:
     members are the nodes' names in key order; edges are all edges inside the
     component, of both kinds, as structs (source, target, kind) in order.
     """
-    comp = materialize(strong_components(graph.edges), "components")
+    comp = strong_components(graph.edges)
     loops = graph.edges.filter("src_key = dst_key").select(F.col("src_key").alias("node_key")).distinct()
     alone = loops.join(comp, "node_key", "left_anti").select("node_key", F.col("node_key").alias("component"))
     all_of = materialize(comp.unionByName(alone), "components")

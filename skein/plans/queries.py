@@ -9,19 +9,31 @@ from skein.functions.names import fold, name_key, normal_source_id
 from skein.operators import closure, dead
 from skein.plans import graph as g
 from skein.plans import parse, repository, rules
-from skein.runtime import load, materialize
+from skein.runtime import load as scan
+from skein.runtime import materialize, spread
 from skein.sources import synthetic
 
 ROOT = "dbo.R0"
 
 
+def load(spark: SparkSession, d: str, *names: str):
+    """Tables whose rows become texts, spread over the cores."""
+    frames = scan(spark, d, *names)
+    return spread(frames) if len(names) == 1 else tuple(map(spread, frames))
+
+
 def _lineage_sources(spark: SparkSession, d: str, regions: bool = True) -> DataFrame:
     orders, customer, nation, region = load(spark, d, "orders", "customer", "nation", "region")
     return synthetic.lineage(orders, customer, nation, region if regions else None)
 
 
 def _graph_of(sources: DataFrame) -> g.Graph:
-    return g.build_graph(parse.parse_sources(sources))
+    return g.build_graph(materialize(parse.parse_sources(sources), "objects"))
+
+
+def _edges_of(sources: DataFrame) -> DataFrame:
+    """Edges alone: the texts are read once, so nothing needs to be kept."""
+    return g.build_graph(parse.parse_sources(sources)).edges
 
 
 def _lineage(spark: SparkSession, d: str, regions: bool = True) -> g.Graph:
@@ -37,7 +49,7 @@ def _rings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_edges(spark, d):
-    return _lineage(spark, d).edges
+    return _edges_of(_lineage_sources(spark, d))
 
 
 def graph_nodes(spark, d):
@@ -140,7 +152,7 @@ def object_inventory(spark, d):
 
 
 def scope_isolation(spark, d):
-    return _graph_of(synthetic.order_batches(load(spark, d, "lineitem"))).edges
+    return _edges_of(synthetic.order_batches(load(spark, d, "lineitem")))
 
 
 def statement_counts(spark, d):
@@ -153,11 +165,11 @@ def token_kinds(spark, d):
 
 
 def fk_edges(spark, d):
-    return _graph_of(synthetic.nation_tables(load(spark, d, "nation"))).edges
+    return _edges_of(synthetic.nation_tables(load(spark, d, "nation")))
 
 
 def reference_forms(spark, d):
-    return _graph_of(synthetic.line_forms(load(spark, d, "lineitem"))).edges
+    return _edges_of(synthetic.line_forms(load(spark, d, "lineitem")))
 
 
 def temporary_tables(spark, d):
@@ -213,7 +225,7 @@ def stored_objects(spark, d):
 
 
 def stored_edges(spark, d):
-    return _graph_of(_stored_sources(spark, d)).edges
+    return _edges_of(_stored_sources(spark, d))
 
 
 def stored_cycles(spark, d):

@@ -77,6 +77,16 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan in at least as many partitions as there are cores.
+
+    For work in Python on tables of a few files; a scan that has enough
+    partitions is left as it is, so large inputs are not shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def load(spark: SparkSession, sf_dir: str, *names: str):
     """The named parquet tables of a data folder, one frame or a tuple."""
     frames = tuple(spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in names)

@@ -9,12 +9,13 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein import schemas
 from skein.plans.parse import file_kind, kind_summary
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_utf8(content: pd.Series) -> pd.Series:
     """UTF-8 text with invalid bytes dropped and line ends as ``\\n``."""
     return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n"))
@@ -32,8 +33,9 @@ def scan(spark: SparkSession, root: str, classify=file_kind) -> DataFrame:
             raise NotADirectoryError(f"path is not a folder: {root}")
         if next(Path(root).rglob("*.sql"), None) is None:
             return spark.createDataFrame([], "path string, name string, kind string, content string")
+        root = str(Path(root).resolve())  # the JVM may have another working folder
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sql").option("recursiveFileLookup", "true").load(root)
-    path = F.regexp_replace(F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+    path = F.regexp_replace("path", "^file:/+", "/")
     rows = files.select(path.alias("path"), F.element_at(F.split(path, "/"), -1).alias("name"), decode_utf8("content").alias("content"))
     return rows.select("path", "name", classify(F.col("content")).alias("kind"), "content")
 
@@ -78,7 +80,7 @@ def read_sources(spark: SparkSession, paths: Iterable[str], recursive: bool = Fa
     files = collect_files(paths, recursive)
     named = spark.createDataFrame([(source_id_of(p), str(p), p.resolve().as_posix(), i) for i, p in enumerate(files)], "source_id string, path string, full string, doc_ord int")
     texts = spark.read.format("binaryFile").load([str(p.resolve()) for p in files])
-    full = F.regexp_replace(F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+    full = F.regexp_replace("path", "^file:/+", "/")
     return named.join(texts.select(full.alias("full"), decode_utf8("content").alias("sql_text")), "full").select("source_id", "sql_text", "path", "doc_ord")
 
 
