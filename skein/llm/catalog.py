@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import corpus, lookalike, mixing, mojibake, neardup, tokens, validity
-from skein.runtime import load
+from skein.runtime import load, materialize, spread
 
 
 def _near(spark: SparkSession, d: str):
@@ -19,7 +19,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.groups(*_near(spark, d)).withColumnRenamed("id", "source_id")
+    """One row for each source: the group it belongs to and the number of sources it is near to."""
+    states = materialize(corpus.source_states(load(spark, d, "sql_source")), "states")
+    found = neardup.groups(*neardup.similar_sets(states, "source_id", "sql_text")).withColumnRenamed("id", "source_id")
+    return states.select("source_id").join(found, "source_id", "left").select(
+        "source_id", F.coalesce("group_id", "source_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    )
 
 
 def _examined(spark: SparkSession, d: str) -> DataFrame:
@@ -58,12 +63,12 @@ def p4_restored(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document's text by byte_bpe_50k."""
-    return tokens.encode(load(spark, d, "documents"), "text", ["doc_id"], tokens.tokenizer_file())
+    return tokens.encode(spread(load(spark, d, "documents")), "text", ["doc_id"], tokens.tokenizer_file())
 
 
 def _mixed(spark: SparkSession, d: str):
     documents, targets = load(spark, d, "documents", "mix_target")
-    sizes = tokens.encode(documents, "text", ["doc_id", "source"], tokens.tokenizer_file(), count_only=True)
+    sizes = tokens.encode(spread(documents), "text", ["doc_id", "source"], tokens.tokenizer_file(), count_only=True)
     return mixing.mix(sizes, targets)
 
 
@@ -78,7 +83,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents that look the same but are not equal character by character."""
-    pairs = lookalike.lookalike_pairs(load(spark, d, "documents"), "text", "doc_id")
+    pairs = lookalike.lookalike_pairs(spread(load(spark, d, "documents")), "text", "doc_id")
     return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 

@@ -63,7 +63,8 @@ def test_groups_hold_every_near_text_once(spark, near_texts):
     df = spark.createDataFrame(list(near_texts.items()), "id string, text string")
     rows = neardup.groups(*neardup.similar_sets(df, "id", "text")).collect()
     want = Counter(x for pair in _near(near_texts) for x in pair)
-    assert {r["id"]: r["n_links"] for r in rows} == dict(want)
+    assert {r["id"]: r["n_links"] for r in rows if r["n_links"]} == dict(want)
+    assert all(r["group_id"] == r["id"] for r in rows if not r["n_links"]) and len(rows) == len({r["id"] for r in rows})
     group = {r["id"]: r["group_id"] for r in rows}
     assert all(group[a] == group[b] for a, b in _near(near_texts))
 
