@@ -94,7 +94,7 @@ orphan AS (SELECT * FROM refs r WHERE NOT EXISTS (SELECT 1 FROM lives l WHERE l.
 _TARGETS = f"""tg AS (SELECT {_KEY.format("target")} AS name_key, * EXCLUDE (name) FROM (SELECT *, 0 AS name FROM dependency_edge))"""
 _ENTRIES = f"""latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY ingested_at DESC) AS rn FROM repository_object_record) WHERE rn = 1),
 en AS (SELECT {_KEY.format("name")} AS name_key, unnest(dependents) AS entry FROM latest)"""
-_TREE = f"""raw AS (SELECT nullif({_KEY.format("target")}, '') AS c, nullif({_KEY.format("source")}, '') AS p FROM dependency_edge WHERE lower(trim(kind)) = 'executes'),
+TREE = f"""raw AS (SELECT nullif({_KEY.format("target")}, '') AS c, nullif({_KEY.format("source")}, '') AS p FROM dependency_edge WHERE lower(trim(kind)) = 'executes'),
 l AS (SELECT c, min(p) AS p FROM raw WHERE c IS NOT NULL AND p IS NOT NULL GROUP BY c),
 nodes AS (SELECT c AS n FROM raw WHERE c IS NOT NULL UNION SELECT p FROM raw WHERE p IS NOT NULL),
 walk(n, a, s) AS (SELECT c, p, 1 FROM l UNION SELECT w.n, l.p, w.s + 1 FROM walk w JOIN l ON l.c = w.a WHERE w.n <> w.a AND w.s < 400),
@@ -116,7 +116,8 @@ SELECT 'repository_object_record', name_key FROM en WHERE name_key <> '' GROUP B
     "p5_edge_targets": f"""WITH {_TARGETS}, g AS (SELECT name_key, seen_at, kind, epoch_us(seen_at) - epoch_us(lag(seen_at) OVER (PARTITION BY name_key ORDER BY seen_at NULLS FIRST, edge_id)) AS gap FROM tg WHERE name_key <> '')
 SELECT name_key, count(*) AS n_rows, CAST(coalesce(sum(CASE WHEN lower(trim(kind)) = 'executes' THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_executes, round(coalesce(max(gap) / 1e6, 0), 3) AS longest_gap_s FROM g GROUP BY name_key""",
     "p5_dependents": f"""WITH {_ENTRIES} SELECT name_key, count(*) AS n_entries, count(DISTINCT nullif({_KEY.format("entry")}, '')) AS n_dependents FROM en WHERE name_key <> '' GROUP BY name_key""",
-    "p6_found": f"WITH RECURSIVE {_TREE} SELECT n AS node_key, r AS root_key, CAST(d AS BIGINT) AS depth, CAST(cyc AS BIGINT) AS in_cycle FROM ans",
-    "p6_descendants": f"""WITH RECURSIVE {_TREE} SELECT DISTINCT w.a AS ancestor, w.n AS descendant, CAST(w.s AS BIGINT) AS steps FROM walk w JOIN ans x ON x.n = w.n JOIN ans y ON y.n = w.a
+    "p6_found": f"WITH RECURSIVE {TREE} SELECT n AS node_key, r AS root_key, CAST(d AS BIGINT) AS depth, CAST(cyc AS BIGINT) AS in_cycle FROM ans",
+    "p6_paths": f"""WITH RECURSIVE {TREE} SELECT x.n AS node_key, coalesce(string_agg(w.a, ' > ' ORDER BY w.s DESC) || ' > ', '') || x.n AS path FROM ans x LEFT JOIN walk w ON w.n = x.n AND w.s <= x.d GROUP BY x.n""",
+    "p6_descendants": f"""WITH RECURSIVE {TREE} SELECT DISTINCT w.a AS ancestor, w.n AS descendant, CAST(w.s AS BIGINT) AS steps FROM walk w JOIN ans x ON x.n = w.n JOIN ans y ON y.n = w.a
 WHERE x.cyc = 0 AND w.s <= x.d""",
 }

@@ -9,6 +9,7 @@ from skein.functions.names import fold, name_key, normal_source_id
 from skein.operators import closure, dead
 from skein.plans import graph as g
 from skein.plans import parse, repository, rules
+from skein.plans.problems import TREE
 from skein.runtime import load as scan
 from skein.runtime import materialize, spread
 from skein.sources import synthetic
@@ -347,5 +348,6 @@ SELECT count(*) AS total_sql_files, count(*) FILTER (kind = 'Stored Procedure')
     "edge_cross_references": f"WITH {_EDGES} SELECT s AS source, t AS target, CASE kind WHEN 'executes' THEN 'execute' ELSE 'read' END AS type FROM e",
     "edge_degrees": f"""WITH {_EDGES}, k AS (SELECT s AS name, 1 AS o, 0 AS i FROM e UNION ALL SELECT t, 0, 1 FROM e)
 SELECT name, CAST(sum(o) AS BIGINT) AS dependency_count, CAST(sum(i) AS BIGINT) AS dependent_count FROM k GROUP BY name""",
+    "edge_cycles": f"WITH RECURSIVE {TREE} SELECT string_agg(n, ',' ORDER BY n) AS members, count(*) = 1 AS is_self_reference, count(*) AS n_edges FROM loopkey GROUP BY k",
     "folded_names": "SELECT DISTINCT node_id, lower(trim(name, ' ' || chr(9))) AS name_key FROM dependency_node",
 }
