@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions.names import normal_source_id
 from skein.llm import corpus, lookalike, mixing, mojibake, neardup, tokens, validity
-from skein.runtime import load, materialize, spread
+from skein.runtime import load, spread
 
 
 def _near(spark: SparkSession, d: str):
-    return neardup.similar_sets(corpus.source_states(load(spark, d, "sql_source")), "source_id", "sql_text")
+    rows = load(spark, d, "sql_source").withColumn("source_id", normal_source_id("source_id")).filter("source_id <> ''")
+    return neardup.similar_sets(spread(rows), "source_id", "sql_text", latest="committed_at")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -20,9 +22,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     """One row for each source: the group it belongs to and the number of sources it is near to."""
-    states = materialize(corpus.source_states(load(spark, d, "sql_source")), "states")
-    found = neardup.groups(*neardup.similar_sets(states, "source_id", "sql_text")).withColumnRenamed("id", "source_id")
-    return states.select("source_id").join(found, "source_id", "left").select(
+    everyone = load(spark, d, "sql_source").select(normal_source_id("source_id").alias("source_id")).filter("source_id <> ''").distinct()
+    found = neardup.groups(*_near(spark, d)).withColumnRenamed("id", "source_id")
+    return everyone.join(found, "source_id", "left").select(
         "source_id", F.coalesce("group_id", "source_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
 
