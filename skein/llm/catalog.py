@@ -30,7 +30,7 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _examined(spark: SparkSession, d: str) -> DataFrame:
-    return validity.examine_sources(corpus.source_states(load(spark, d, "sql_source")))
+    return validity.examine_sources(spread(load(spark, d, "sql_source")), latest="committed_at")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -52,22 +52,34 @@ def _examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((language, verdict, at))
         language, verdict, at = zip(*out, strict=True) if out else ((), (), ())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(4), pa.array(language, type=pa.string()), pa.array(verdict, type=pa.string()), pa.array(at, type=pa.int64())],
-            names=["source_id", "repository", "lang", "verdict", "at"],
+            [batch.column(0), batch.column(4), pa.array(language, type=pa.string()), pa.array(verdict, type=pa.string()), pa.array(at, type=pa.int64()), batch.column(5)],
+            names=["source_id", "repository", "lang", "verdict", "at", "time"],
         )
 
 
-def examine_sources(states: DataFrame) -> DataFrame:
-    """(source_id, repository, lang, verdict, at) of every source's state.
+def examine_sources(sources: DataFrame, latest: str | None = None) -> DataFrame:
+    """(source_id, repository, lang, verdict, at) of every source.
 
     verdict is ``sound``, ``fails`` (at: code-point offset of the token with the
     empty derivative) or ``ends early`` (the text stops where its language
     cannot). Null, empty and comment-only texts are sound, and so is text in a
     language for which there is no grammar. The language is that of ``lang``,
     else that of the file name's ending.
+
+    With ``latest``, a column of times, source ids are read in normal form and
+    only the row with the greatest time counts for each (a missing time is the
+    least; of rows of one time, one that is unsound). Texts are examined where
+    they lie; only verdicts are shuffled.
     """
-    rows = states.select("source_id", "sql_text", "lang", "path", "repository")
-    return rows.mapInArrow(_examine, "source_id string, repository string, lang string, verdict string, at long")
+    time = F.col(latest).cast("timestamp") if latest else F.lit(None).cast("timestamp")
+    rows = sources.select(normal_source_id("source_id").alias("source_id") if latest else F.col("source_id"), "sql_text", "lang", "path", "repository", time.alias("time"))
+    if latest:
+        rows = rows.filter("source_id is not null and source_id <> ''")
+    out = rows.mapInArrow(_examine, "source_id string, repository string, lang string, verdict string, at long, time timestamp")
+    if latest:
+        order = F.struct(F.coalesce("time", F.lit("0001-01-01").cast("timestamp")), F.col("verdict") != "sound", F.coalesce("at", F.lit(-1)))
+        out = out.groupBy("source_id").agg(F.max_by(F.struct("repository", "lang", "verdict", "at"), order).alias("r")).select("source_id", "r.*")
+    return out.select("source_id", "repository", "lang", "verdict", "at")
 
 
 def rates(examined: DataFrame) -> DataFrame:

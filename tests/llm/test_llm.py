@@ -160,6 +160,9 @@ def test_examine_sources_rates_and_hints(spark):
     runs = spark.createDataFrame([("./b.sql", ["x"]), ("b.sql", None), ("c.json", [])], "source_id string, diagnostics array<string>")
     assert {r["source_id"]: r["hinted"] for r in validity.with_hints(out.filter("verdict <> 'sound'"), runs).collect()} == {"b.sql": True, "c.json": False}
     assert validity.examine_sources(states.limit(0)).count() == 0
+    day = lambda n: dt.datetime(2024, 1, n)
+    told = spark.createDataFrame([("./a", "SELECT", "tsql", day(1)), ("a ", "SELECT 1", "tsql", day(2)), ("b", "SELECT 1", "tsql", day(1)), ("b", "SELECT", "tsql", day(1)), ("c", "SELECT", "tsql", None), (None, "SELECT", "tsql", day(1))], "source_id string, sql_text string, lang string, t timestamp").withColumns({"path": F.lit("x"), "repository": F.lit("r"), "time": F.lit(0)})
+    assert {r["source_id"]: r["verdict"] for r in validity.examine_sources(told, latest="t").collect()} == {"a": "sound", "b": "ends early", "c": "ends early"}
 
 
 # ----------------------------------------------------------------- 4 encodings
