@@ -7,7 +7,7 @@ def test_texts_without_identity_fall_together(spark):
     a = Analyzer(spark, ["EXEC dbo.P", "SELECT 1 FROM dbo.T; EXEC (@x)", None or ""])
     assert sorted(tuple(r) for r in a.cross_references().collect()) == [("UnnamedScript", "dbo.P", "execute"), ("UnnamedScript", "dbo.T", "read")]
     assert a.dynamic_object_count() == 1 and a.incoming("DBO.p").count() == 1
-    assert a.tokens().filter("kind = 'identifier'").count() == 7
+    assert a.tokens().filter("kind = 'identifier'").count() == 8
     one = Analyzer(spark, "CREATE VIEW dbo.V AS SELECT * FROM dbo.V")
     assert one.rules(rule_ids=["SQL001"]).findings.first()["message"] == "Self-referencing SQL object detected: dbo.V"
 
