@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.chunked import number_rows
+from skein.operators.hierarchy import connected_components
 from skein.plans.graph import Graph, _key
 from skein.runtime import materialize, materialize_counting, release
 
+EARLY_ROUNDS = 4  # of trimming, before pieces are told apart; shallow trees are gone by then
+
 
 def impact(graph: Graph, root: str) -> DataFrame:
     """(ord, name, depth): the root and all that depends on it, breadth first.
@@ -80,10 +83,16 @@ def strong_components(edges: DataFrame) -> DataFrame:
     component is the least key of the component. Nodes without an edge in or
     out on their side cannot be on a loop and are trimmed; then each node takes
     on the greatest key that reaches it, and the nodes that reach that key
-    inside its colour are its component. Both repeat on what is left.
+    inside its colour are its component. Both repeat on what is left. Both also
+    take a round for each step of a long chain or loop, so pieces of the graph
+    that are trees or plain loops are told by counting, without them.
     """
     left = materialize(edges.select("src_key", "dst_key").filter("src_key <> dst_key").distinct(), "scc-edges")
     found: list[DataFrame] = []
+    left, n = _trim(left, EARLY_ROUNDS)
+    if n:
+        rings, left = _plain_pieces(left)
+        found.append(rings)
     while True:
         left, n = _trim(left)
         if not n:
@@ -105,15 +114,32 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return out.join(least, "component").select("node_key", F.col("least").alias("component"))
 
 
-def _trim(edges: DataFrame) -> tuple[DataFrame, int]:
-    """Edges whose source is some target and whose target is some source, until none falls away; and their number."""
-    before = None
+def _plain_pieces(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node_key, component) of the pieces that are one plain loop, and the edges of those that are neither loop nor tree.
+
+    A connected piece with an edge less than it has nodes is a tree and holds no
+    loop; one whose nodes all have one edge in and one out is a loop.
+    """
+    of = materialize(connected_components(edges.select(F.col("src_key").alias("a"), F.col("dst_key").alias("b"))), "pieces")
+    ends = edges.select(F.col("src_key").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("dst_key").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    nodes = ends.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).join(of, "node")
+    pieces = nodes.groupBy("component").agg(F.sum("o").alias("e"), F.count(F.lit(1)).alias("n"), F.bool_and(F.expr("o = 1 and i = 1")).alias("ring"))
+    kinds = materialize(of.join(pieces, "component").select("node", "component", "ring", (F.col("e") < F.col("n")).alias("tree")), "pieces")
+    rings = kinds.filter("ring").select(F.col("node").alias("node_key"), "component")
+    rest = kinds.filter("not ring and not tree").select(F.col("node").alias("src_key"))
+    return rings, materialize(edges.join(rest, "src_key"), "scc-edges")
+
+
+def _trim(edges: DataFrame, rounds: int | None = None) -> tuple[DataFrame, int]:
+    """Edges whose source is some target and whose target is some source, until none falls away or for some rounds; and their number."""
+    before, done = None, 0
     while True:
         kept = edges.join(edges.select(F.col("dst_key").alias("src_key")).distinct(), "src_key", "left_semi").join(edges.select(F.col("src_key").alias("dst_key")).distinct(), "dst_key", "left_semi")
         kept, n = materialize_counting(kept.select("src_key", "dst_key"), "scc-edges", n=F.count(F.lit(1)))
         release(edges)
         edges = kept
-        if n["n"] == before or n["n"] == 0:
+        done += 1
+        if n["n"] in (before, 0) or done == rounds:
             return edges, n["n"]
         before = n["n"]
 

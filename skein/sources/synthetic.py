@@ -36,14 +36,13 @@ def order_procedures(orders: DataFrame, customer: DataFrame) -> DataFrame:
     return out.unionByName(_sources(customer, "customers", c("c_custkey"), "CREATE PROCEDURE dbo.C", c("c_custkey"), " @a int = 0 AS SELECT @a;"))
 
 
-def event_rings(events: DataFrame, length: int = 4) -> DataFrame:
-    """Each user's first events as views reading the next one; even users' last view reads the first."""
+def event_rings(events: DataFrame) -> DataFrame:
+    """Each user's events in order as views reading the next one; even users' last view reads the first."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    first = events.withColumn("rn", F.row_number().over(w)).filter(c("rn") <= length)
     n = F.count(F.lit(1)).over(Window.partitionBy("user_id"))
-    ring = first.withColumn("n", n)
+    ring = events.withColumn("rn", F.row_number().over(w)).withColumn("n", n)
     following = F.when(c("rn") < c("n"), c("rn") + 1).when(c("user_id") % 2 == 0, F.lit(1))
     read = F.when(following.isNotNull(), F.concat(F.lit(" FROM dbo.U"), c("user_id").cast("string"), F.lit("_"), following.cast("string"))).otherwise(F.lit(""))
     return _sources(ring, "events", F.concat(c("user_id").cast("string"), F.lit("_"), c("rn").cast("string")), "CREATE VIEW dbo.U", c("user_id"), "_", c("rn"), " AS SELECT 1 AS one", read, ";")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import random
 
@@ -11,7 +12,7 @@ from skein import cli
 from skein.operators import closure, dead
 from skein.plans import graph as g
 from skein.plans import parse, report, repository, rules
-from skein.sources import files
+from skein.sources import files, synthetic
 
 
 @pytest.fixture(scope="module")
@@ -148,6 +149,21 @@ def test_rules_and_repository(spark, tmp_path):
     assert rules.normal_entry_points([" b ", "A", "B"]) == ["A", "b"]
 
 
+def test_rings_hold_all_events_of_a_user(spark):
+    rows = [(u, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=-i), 100 * u + i) for u, n in {1: 6, 2: 12, 4: 1, 6: 5}.items() for i in range(n)]
+    rings = synthetic.event_rings(spark.createDataFrame(rows, "user_id long, ts timestamp, event_id long"))
+    assert rings.count() == len(rows)
+    objects = parse.parse_sources(rings).cache()
+    graph = g.build_graph(objects)
+    ring = lambda u, n: sorted(f"dbo.U{u}_{i + 1}" for i in range(n))
+    found = closure.cycles(graph.cached())
+    assert sorted((r["members"], r["is_self_reference"], len(r["edges"])) for r in found.collect()) == [(ring(2, 12), False, 12), (ring(4, 1), True, 1), (ring(6, 5), False, 5)]
+    result = rules.Engine().run(rules.Context(graph.cached(), objects))
+    assert sorted((r["rule_id"], r["objects"]) for r in result.findings.collect()) == [
+        ("SQL001", ring(2, 12)), ("SQL001", ring(4, 1)), ("SQL001", ring(6, 5)), ("SQL002", ["dbo.U1_1"]), ("SQL002", ring(2, 12)), ("SQL002", ring(4, 1)), ("SQL002", ring(6, 5)),
+    ]
+
+
 def test_impact_json_round_trip():
     text = report.dump({"schema_version": "1.0", "root_object": "a", "impacted_objects": ["a", "b"]})
     assert report.read_impact(text)["impacted_objects"] == ["a", "b"]
