@@ -49,6 +49,10 @@ def parse_sources(sources: DataFrame, source_aware: bool = True) -> DataFrame:
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = to_arrow_schema(schemas.TOKENS)
+
+    def out(cols: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
     for batch in batches:
         cols: list[list] = [[] for _ in schemas.TOKENS.fields]
         for source_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -63,7 +67,10 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     c.append(v)
                 if t.value == ";":
                     stmt += 1
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+            if len(cols[0]) > 100_000:
+                yield out(cols)
+                cols = [[] for _ in schemas.TOKENS.fields]
+        yield out(cols)
 
 
 def tokens(sources: DataFrame) -> DataFrame:

@@ -157,12 +157,14 @@ def scope_isolation(spark, d):
 
 
 def statement_counts(spark, d):
-    rows = parse.tokens(synthetic.order_batches(load(spark, d, "lineitem")))
+    """Statements of the latest state of every stored source that holds any."""
+    rows = parse.tokens(_latest_states(spark, d))
     return rows.filter("value <> ';'").groupBy("source_id").agg(F.count_distinct("stmt_no").alias("statements"))
 
 
 def token_kinds(spark, d):
-    return parse.tokens(synthetic.nation_tables(load(spark, d, "nation"))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    """Tokens of all stored texts by kind."""
+    return parse.tokens(load(spark, d, "sql_source")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fk_edges(spark, d):
@@ -208,11 +210,16 @@ def scan_summary(spark, d):
     return parse.kind_summary(rows.select(parse.file_kind(F.col("content")).alias("kind")))
 
 
-def _stored_sources(spark, d) -> DataFrame:
-    """The latest state of every stored T-SQL source."""
+def _latest_states(spark, d) -> DataFrame:
+    """The latest state of every stored source, in whatever language."""
     rows = load(spark, d, "sql_source").withColumn("source_id", normal_source_id("source_id"))
     per = rows.groupBy("source_id").agg(F.max_by(F.struct("sql_text", "lang", "path"), F.struct("committed_at", "sql_text")).alias("s"))
-    return per.select("source_id", "s.*").filter("lang = 'tsql'")
+    return per.select("source_id", "s.*")
+
+
+def _stored_sources(spark, d) -> DataFrame:
+    """The latest state of every stored T-SQL source."""
+    return _latest_states(spark, d).filter("lang = 'tsql'")
 
 
 def source_ids(spark, d):

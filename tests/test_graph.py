@@ -11,7 +11,7 @@ import pytest
 from skein import cli
 from skein.operators import closure, dead
 from skein.plans import graph as g
-from skein.plans import parse, report, repository, rules
+from skein.plans import parse, queries, report, repository, rules
 from skein.sources import files, synthetic
 
 
@@ -172,6 +172,18 @@ def test_impact_json_round_trip():
             report.read_impact(bad)
 
 
+def test_token_kinds_and_statements_of_stored_texts(spark, tmp_path):
+    at = lambda n: dt.datetime(2024, 1, n)
+    rows = [
+        ("./a.sql", "SELECT 'it''s; x' AS [my col]; -- no; token\nGO\nSELECT 2 /* ; */", "tsql", None, at(2)), ("a.sql", "SELECT 1; SELECT 2; SELECT 3", "tsql", None, at(1)),
+        ("b.json", '{"a": 1}', "json", None, at(1)), ("c.sql", None, "tsql", None, at(1)), ("d.sql", "SELECT 1;" * 40000, "tsql", None, at(1)),
+    ]
+    spark.createDataFrame(rows, "source_id string, sql_text string, lang string, path string, committed_at timestamp").write.parquet(f"{tmp_path}/sql_source.parquet")
+    kinds = {r["kind"]: r["n"] for r in queries.token_kinds(spark, str(tmp_path)).collect()}
+    assert kinds == {"identifier": 80012, "symbol": 40003, "operator": 3, "literal": 2}
+    assert {r["source_id"]: r["statements"] for r in queries.statement_counts(spark, str(tmp_path)).collect()} == {"a.sql": 2, "b.json": 1, "d.sql": 40000}
+
+
 def test_lint_and_file_kinds(spark):
     rows = sources(spark, a="select  * from #t; SET nocount ON; exec (@x) CURSOR", b=None)
     got = {(r["source_id"], r["rule"]): r["matches"] for r in parse.lint_counts(rows).collect()}
