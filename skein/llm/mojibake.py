@@ -13,13 +13,14 @@ made.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.runtime import materialize
@@ -33,7 +34,7 @@ TWICE = "cp1252 latin-1 cp437 cp850 mac_roman cp1250 cp1251".split()  # noqa: SI
 _WORD = re.compile(r"[A-Za-z0-9_\x80-\U0010ffff]+")
 _ASCII_WORD = re.compile(r"[A-Za-z]{5,}")
 _CORE = re.compile(r"(?:(?<=[a-z])(?=[^\W\d_a-zA-Z])|[A-Z]?[a-z]*)[^\x00-\x7f][a-z\x80-\U0010ffff]*")
-MAX_WORD = 1000  # characters; what is longer is no word, and gets no garbled forms
+LONG = 1000  # characters; longer words and forms are joined by their digests
 WHOLE, CORE, TAIL, UNITS = 0, 1, 2, 3  # kinds of words: whole, part of a name, from its first foreign letter, UTF-16 pairs
 
 
@@ -172,16 +173,25 @@ def _doc_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _key(word: str) -> str:
+    """What a word or form is joined by; no word holds a zero byte alone at its start."""
+    return word if len(word) <= LONG else "\0" + hashlib.sha256(word.encode("utf-8")).hexdigest()
+
+
+def _key_column(name: str) -> Column:
+    """:func:`_key` of a column."""
+    return F.when(F.char_length(name) > LONG, F.concat(F.lit("\0"), F.sha2(F.col(name).cast("binary"), 256))).otherwise(F.col(name))
+
+
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 500):
             part = batch.slice(start, 500)
             out: set[tuple] = set()
             for kind, word, n in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                if len(word) > MAX_WORD:
-                    continue
+                original = _key(word)
                 if kind == -1:
-                    out.update((UNITS, f, word, n, True) for f in unit_forms(word))
+                    out.update((UNITS, _key(f), original, n, True) for f in unit_forms(word))
                     continue
                 for form, one_way in garbled_forms(word):
                     if form == word or form.isascii():
@@ -189,9 +199,9 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if kind == WHOLE:
                         pieces = [p for p in _WORD.findall(form) if not p.isascii()]
                         whole = len(pieces) == 1 and pieces[0] == form
-                        out.update((kind, p, word if whole else None, n, one_way) for p in pieces if whole or len(p) > 3)
+                        out.update((kind, _key(p), original if whole else None, n, one_way) for p in pieces if whole or len(p) > 3)
                     elif kind == CORE or (one_way and sum(c > "\x7f" for c in form) > 1):
-                        out.add((kind, form, word, n, one_way))
+                        out.add((kind, _key(form), original, n, one_way))
             if out:
                 cols = list(zip(*out, strict=True))
                 kinds = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
@@ -207,11 +217,17 @@ def garbled_words(texts: DataFrame) -> DataFrame:
     counted = texts.mapInArrow(_count, "kind int, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
     words = materialize(counted, "words")
     forms = words.mapInArrow(_forms, "kind int, form string, original string, n long, one_way boolean")
-    present = words.filter("kind >= 0").select("kind", F.col("word").alias("form"), F.col("n").alias("n_garbled"))
+    present = words.filter("kind >= 0").select("kind", _key_column("word").alias("form"), F.col("n").alias("n_garbled"))
     hit = forms.join(present, ["kind", "form"]).filter("original is null or original <> form")
     # Two 8-bit encodings can be taken for each other both ways; then the more frequent word is the original.
     hit = hit.filter("one_way or n > n_garbled")
-    return hit.groupBy("kind", F.col("form").alias("word")).agg(F.max_by("original", F.struct(F.col("original").isNotNull(), "n", "original")).alias("original"))
+    found = hit.groupBy("kind", "form").agg(F.max_by("original", F.struct(F.col("original").isNotNull(), "n", "original")).alias("original"))
+    long = words.filter(F.char_length("word") > LONG)
+    of_form = long.select("kind", _key_column("word").alias("form"), F.col("word").alias("long_word"))
+    # ASCII words, of kind -1, are originals of UTF-16 pairs.
+    of_original = long.select(F.when(F.col("kind") == -1, UNITS).otherwise(F.col("kind")).alias("kind"), _key_column("word").alias("original"), F.col("word").alias("long_original")).distinct()
+    found = found.join(of_form, ["kind", "form"], "left").join(of_original, ["kind", "original"], "left")
+    return found.select("kind", F.coalesce("long_word", "form").alias("word"), F.coalesce("long_original", "original").alias("original"))
 
 
 def find_garbled(texts: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -200,6 +200,15 @@ def test_garbled_texts_are_found_and_restored(spark):
     assert [k for k in exact if restored[k]["restored"] != want[k][1]] == []
 
 
+def test_long_garbled_words_are_found_and_restored(spark):
+    word = "更新表检查余额审批" * 300
+    bad = {c: word.encode("utf-8").decode(c) for c in ("latin-1", "cp437", "mac_roman")}
+    rows = [("clean", "c", f"-- {word} x")] + [("bad", c, f"-- {b} x") for c, b in bad.items()]
+    df = spark.createDataFrame(rows, "table_name string, record_key string, text string")
+    assert {r["record_key"] for r in mojibake.find_garbled(df)[0].collect()} == set(bad)
+    assert {r["record_key"]: (r["restored"], r["complete"]) for r in mojibake.restore(df).collect()} == {c: (f"-- {word} x", True) for c in bad}
+
+
 def test_no_garbled_text_in_nothing(spark):
     empty = spark.createDataFrame([], "table_name string, record_key string, text string")
     assert mojibake.find_garbled(empty)[0].count() == 0
