@@ -193,11 +193,39 @@ def paths(links: DataFrame, roots: DataFrame) -> DataFrame:
     return out
 
 
-def descendants(node_paths: DataFrame) -> DataFrame:
-    """Every (ancestor, descendant, steps) with steps > 0, read off the paths."""
-    return node_paths.select(
+def loop_pairs(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """Every (ancestor, descendant, steps) of two different names on one loop.
+
+    Each loop is opened at its least name; the places of its names from there
+    give the steps between any two. ``roots`` is what resolve_hierarchy gave.
+    """
+    ring = materialize(roots.filter("in_cycle = 1").select(F.col("node_key").alias("node"), F.col("root_key").alias("loop_key")), "ring")
+    own = links.filter("child is not null and parent is not null").groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("anc"))
+    opened = own.join(ring.filter("node <> loop_key").select("node"), "node").withColumn("place", F.lit(None).cast("string"))
+    placed, _ = _resolve(materialize(opened, "opened"), local=False)
+    at = placed.select("node", F.col("anc").alias("loop_key"), "steps").unionByName(ring.filter("node = loop_key").withColumn("steps", F.lit(0).cast("long")))
+    at = materialize(at, "places")
+    size = at.groupBy("loop_key").agg(F.count(F.lit(1)).alias("size"))
+    upper = at.select("loop_key", F.col("node").alias("ancestor"), F.col("steps").alias("up"))
+    pairs = at.withColumnRenamed("node", "descendant").join(size, "loop_key").join(upper, "loop_key").filter("ancestor <> descendant")
+    return pairs.select("ancestor", "descendant", F.pmod(F.col("steps") - F.col("up"), F.col("size")).alias("steps"))
+
+
+def descendants(node_paths: DataFrame, on_loops: DataFrame | None = None) -> DataFrame:
+    """Every (ancestor, descendant, steps) with steps > 0, the least where a loop gives several.
+
+    Read off the paths. A path holds but one name of the loop it hangs on; the
+    others come from ``on_loops``, which loop_pairs gave, and are missing without.
+    A name on a loop is not listed as its own descendant.
+    """
+    out = node_paths.select(
         F.posexplode("path").alias("i", "ancestor"), F.col("node_key").alias("descendant"), (F.size("path") - 1 - F.col("i")).cast("long").alias("steps")
     ).filter("steps > 0").select("ancestor", "descendant", "steps")
+    if on_loops is None:
+        return out
+    tops = node_paths.select(F.element_at("path", 1).alias("top"), F.col("node_key").alias("below"), (F.size("path") - 1).cast("long").alias("more"))
+    through = on_loops.join(tops, F.col("descendant") == F.col("top"))
+    return out.unionByName(through.select("ancestor", F.col("below").alias("descendant"), (F.col("steps") + F.col("more")).alias("steps")))
 
 
 def connected_components(pairs: DataFrame) -> DataFrame:

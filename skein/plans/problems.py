@@ -56,17 +56,20 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.resolve_hierarchy(hierarchy.executes_links(load(spark, d, EDGE)))
 
 
-def _paths(spark: SparkSession, d: str) -> DataFrame:
+def _paths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The links, their roots and paths."""
     links = materialize(hierarchy.executes_links(load(spark, d, EDGE)), "links")
-    return hierarchy.paths(links, hierarchy.resolve_hierarchy(links))
+    roots = hierarchy.resolve_hierarchy(links)
+    return links, roots, hierarchy.paths(links, roots)
 
 
 def p6_paths(spark: SparkSession, d: str) -> DataFrame:
-    return _paths(spark, d).select("node_key", F.array_join("path", " > ").alias("path"))
+    return _paths(spark, d)[2].select("node_key", F.array_join("path", " > ").alias("path"))
 
 
 def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.descendants(_paths(spark, d))
+    links, roots, found = _paths(spark, d)
+    return hierarchy.descendants(found, hierarchy.loop_pairs(links, roots))
 
 
 QUERIES = {

@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 
 from skein.operators import chunked, hierarchy, orphans
+from skein.plans import problems
 
 EDGE = "edge_id long, source string, target string, kind string, repository string, seen_at timestamp, ingested_at timestamp"
 NODE = "node_id long, node_key string, name string, object_type string, registered_at timestamp, ingested_at timestamp"
@@ -170,6 +171,22 @@ def test_hierarchy_against_loops(spark):
     assert below["chain000"] == 119
 
 
+def test_descendants_of_every_name_on_a_loop(spark, tmp_path):
+    parent = {"b": "a", "c": "b", "d": "c", "a": "d", "x": "c", "y": "x", "z": "a", "self": "self", "s1": "self", "t1": "t0", "t2": "t1", "q": "p", "p": "q"}
+    want = set()
+    for n in parent:
+        at, steps, seen = parent[n], 1, {n}
+        while at is not None and at not in seen:
+            want.add((at, n, steps))
+            seen.add(at)
+            at, steps = parent.get(at), steps + 1
+    data = [edge(i, p, c) for i, (c, p) in enumerate(parent.items())]
+    spark.createDataFrame(data, EDGE).write.parquet(f"{tmp_path}/dependency_edge.parquet")
+    out = [tuple(r) for r in problems.p6_descendants(spark, str(tmp_path)).select("ancestor", "descendant", "steps").collect()]
+    assert set(out) == want and len(out) == len(want)
+    assert {("b", "a", 3), ("a", "b", 1), ("d", "y", 5)} <= want
+
+
 def test_hierarchy_of_nothing_and_of_one_loop(spark):
     empty = spark.createDataFrame([], EDGE)
     assert hierarchy.resolve_hierarchy(hierarchy.executes_links(empty)).count() == 0
