@@ -381,7 +381,8 @@ def parse(text: str | None, source_id: str | None = None) -> list[dict]:
         merged = Scope(f"script:{source_id}")
         temporary: dict[str, str] = {}
         for s in (s for s in found if s.is_script):
-            merged.variables = s.variables | merged.variables  # the spelling met first wins
+            for key, spelling in s.variables.items():
+                merged.variables.setdefault(key, spelling)  # the spelling met first wins
             for r in s.references.values():
                 merged.refer(r["name"], r["schema"], r["database"], r["kind"])
             for t in s.temporary:

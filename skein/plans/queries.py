@@ -200,14 +200,27 @@ def lint_counts(spark, d):
     return parse.lint_counts(rows).groupBy("rule").agg(F.sum("matches").alias("matches"))
 
 
+def _classed_files(spark, d) -> DataFrame:
+    """(path, kind) of every file entry, rescans counted once; a null content is the stored source's text of that path."""
+    own = load(spark, d, "sql_file_entry").filter("path is not null").groupBy("path").agg(F.max("content").alias("content"))
+    stored = _latest_states(spark, d).select(F.col("source_id").alias("key"), parse.file_kind(F.col("sql_text")).alias("stored_kind"))
+    rows = own.select("path", F.when(F.col("content").isNotNull(), parse.file_kind(F.col("content"))).alias("own_kind"), normal_source_id("path").alias("key"))
+    return rows.join(stored, "key", "left").select("path", F.coalesce("own_kind", "stored_kind", F.lit("Script")).alias("kind"))
+
+
 def file_kinds(spark, d):
-    rows = load(spark, d, "sql_file_entry").filter("content is not null")
-    return rows.groupBy(parse.file_kind(F.col("content")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    """File entries by the kind of their text."""
+    return _classed_files(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def scan_summary(spark, d):
-    rows = load(spark, d, "sql_file_entry").filter("content is not null").dropDuplicates(["path"])
-    return parse.kind_summary(rows.select(parse.file_kind(F.col("content")).alias("kind")))
+    return parse.kind_summary(_classed_files(spark, d))
+
+
+def script_scopes(spark, d):
+    """What the scripts of a file hold together: variables and references in order of first sight."""
+    objects = parse.parse_sources(synthetic.supplier_scripts(load(spark, d, "supplier")))
+    return objects.select("source_id", "object_ord", "name", F.array_join("variables.name", ",").alias("variables"), F.array_join("references.name", ",").alias("refs"))
 
 
 def _latest_states(spark, d) -> DataFrame:
@@ -274,7 +287,7 @@ QUERIES = {
         corpus_edges, graph_nodes, graph_union, get_node, dependencies_of, dependents_of, cross_references, xref_outgoing, xref_incoming,
         degrees, impact_region, impact_paths, cycles_events, dead_objects, dead_exclusions, rule_findings, severity_counts,
         key_objects_top20, repository_summary, repository_objects, object_inventory, scope_isolation, statement_counts, token_kinds,
-        fk_edges, reference_forms, temporary_tables, parameters, variables, dynamic_sql, lint_counts, file_kinds, scan_summary,
+        fk_edges, reference_forms, temporary_tables, parameters, variables, script_scopes, dynamic_sql, lint_counts, file_kinds, scan_summary,
         source_ids, stored_objects, stored_edges, stored_cycles, edge_cross_references, edge_degrees, edge_cycles, folded_names,
     )
 }
@@ -287,9 +300,9 @@ views AS (SELECT 'dbo.O' || o_orderkey AS name FROM orders UNION SELECT 'dbo.C'
 tabs AS (SELECT 'dbo.R' || r_regionkey AS name FROM region)"""
 _ALL_NODES = f"""WITH {_LINEAGE}, n AS (SELECT name FROM views UNION SELECT name FROM tabs UNION SELECT target FROM e),
 t AS (SELECT name, CASE WHEN name IN (SELECT name FROM views) THEN 'View' WHEN name IN (SELECT name FROM tabs) THEN 'Table' ELSE 'Unknown' END AS object_type FROM n)"""
-_RINGS = """r AS (SELECT user_id, least(count(*), 4) AS n FROM events GROUP BY user_id),
+_RINGS = """r AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id),
 m AS (SELECT user_id, n, unnest(range(1, n + 1)) AS i FROM r),
-ring AS (SELECT user_id, n, string_agg('dbo.U' || user_id || '_' || i, ',' ORDER BY i) AS members FROM m GROUP BY 1, 2)"""
+ring AS (SELECT user_id, n, string_agg('dbo.U' || user_id || '_' || i, ',' ORDER BY i::VARCHAR) AS members FROM m GROUP BY 1, 2)"""
 _FINDINGS = f"""WITH {_RINGS}, f AS (
  SELECT 'SQL001' AS rule_id, 'error' AS severity, 'Circular dependency' AS title, (CASE WHEN n = 1 THEN 'Self-referencing SQL object detected: ' ELSE 'Circular dependency component detected: ' END) || replace(members, ',', ', ') AS message, members AS objects FROM ring WHERE user_id % 2 = 0
  UNION ALL SELECT 'SQL002', 'warning', 'Dead object candidate', 'Unreferenced SQL component requires review: ' || replace(members, ',', ', '), members FROM ring WHERE user_id % 2 = 0
@@ -298,6 +311,18 @@ _NK = "lower(trim({0}, ' ' || chr(9)))"
 _EDGES = f"""e AS (SELECT DISTINCT {_NK.format("source")} AS s, {_NK.format("target")} AS t, lower(trim(kind)) AS kind FROM dependency_edge WHERE {_NK.format("source")} <> '' AND {_NK.format("target")} <> '')"""
 _LINES = """f AS (SELECT 'script:lines/' || l_orderkey || '_' || l_linenumber || '.sql' AS s, l_returnflag AS f, 'dbo.p' || l_partkey AS p, 'dbo.s' || l_suppkey AS su FROM lineitem)"""
 _KIND = r"""CASE WHEN regexp_matches(content, '(?i)\bCREATE\s+(OR\s+ALTER\s+)?PROCEDURE\b') THEN 'Stored Procedure' WHEN regexp_matches(content, '(?i)\bCREATE\s+VIEW\b') THEN 'View' WHEN regexp_matches(content, '(?i)\bCREATE\s+FUNCTION\b') THEN 'Function' ELSE 'Script' END"""
+_SID = r"regexp_replace(replace(trim({0}), chr(92), '/'), '^(\./)+', '')"
+_LATEST = f"""st AS (SELECT {_SID.format("source_id")} AS sid, arg_max(coalesce(sql_text, chr(0)), (committed_at, coalesce(sql_text, ''))) AS x FROM sql_source GROUP BY 1)"""
+_FILES = f"""{_LATEST}, f AS (SELECT path, max(content) AS own FROM sql_file_entry WHERE path IS NOT NULL GROUP BY path),
+k AS (SELECT {_KIND} AS kind FROM (SELECT coalesce(own, x, '') AS content FROM f LEFT JOIN st ON sid = {_SID.format("path")}))"""
+# Lexemes as RE2 reads them: a line break is taken alone, so that GO alone on its line can be told first.
+_BLANK = r"[^\S\n]|[\x0b\x1c-\x1f\x85\p{Z}]"
+_WORD = r"\[[^\]]*(?:\]\][^\]]*)*\]?|[\p{L}\p{N}_$]+"
+_LEXEMES = rf"\n(?:{_BLANK})*[Gg][Oo](?:{_BLANK})*(?m:$)|\n|(?:{_BLANK})+|--[^\n]*|/\*(?s:.*?)\*/|/\*(?s:.*)|[(),;]|''[^'']*(?:''''[^'']*)*''?|\"[^\"]*(?:\"\"[^\"]*)*\"?|[#@][\p{{L}}\p{{N}}._$]*|(?:{_WORD})(?:\.(?:{_WORD}))*|(?s:.)"
+# Of a block comment that never ends, the last character remains a token; a GO line and blanks give none.
+_TOKEN_OF = r"""CASE WHEN regexp_full_match(m, '\n(?s:.*)[Gg][Oo](?s:.*)') THEN 'GO' WHEN regexp_full_match(m, '(?:[\s\x0b\x1c-\x1f\x85\p{Z}])+') OR m[1:2] = '--' OR (m[1:2] = '/*' AND len(m) > 3 AND m[-2:] = '*/') THEN ''
+ WHEN m[1:2] = '/*' THEN CASE WHEN len(m) = 2 THEN '' ELSE m[-1] END ELSE m END"""
+_LEXED = f"""lx AS (SELECT sid, unnest(regexp_extract_all(chr(10) || x, '{_LEXEMES}')) AS m FROM texts), tk AS (SELECT sid, {_TOKEN_OF} AS v FROM lx)"""
 
 ORACLES = {
     "corpus_edges": f"WITH {_LINEAGE} SELECT DISTINCT lower(source) AS src_key, lower(target) AS dst_key, 'references' AS kind FROM e",
@@ -334,8 +359,11 @@ UNION ALL SELECT 'script:parts/' || p_partkey || '.sql', 'Script', 'parts/' || p
     "object_inventory": "SELECT 'batches/' || l_orderkey || '.sql' AS source_id, string_agg('dbo.L' || l_orderkey || '_' || l_linenumber, ',' ORDER BY l_linenumber) AS objects FROM lineitem GROUP BY l_orderkey",
     "scope_isolation": """SELECT DISTINCT 'dbo.l' || l_orderkey || '_' || l_linenumber AS src_key, 'dbo.p' || l_partkey AS dst_key, 'references' AS kind FROM lineitem
 UNION ALL SELECT DISTINCT 'dbo.l' || l_orderkey || '_' || l_linenumber, 'dbo.s' || l_suppkey, 'executes' FROM lineitem""",
-    "statement_counts": "SELECT 'batches/' || l_orderkey || '.sql' AS source_id, 3 * count(*) AS statements FROM lineitem GROUP BY l_orderkey",
-    "token_kinds": "SELECT 'identifier' AS kind, 21 * count(*) AS n FROM nation UNION ALL SELECT 'symbol', 10 * count(*) FROM nation",
+    "statement_counts": f"""WITH {_LATEST}, texts AS (SELECT * FROM st WHERE x <> chr(0)), mm AS (SELECT sid, regexp_extract_all(chr(10) || x, '{_LEXEMES}') AS ms FROM texts),
+sg AS (SELECT sid, array_to_string(list_transform(list_transform(ms, lambda m: {_TOKEN_OF}), lambda v: CASE WHEN trim(v) = '' THEN '' WHEN v IN (';', 'GO') THEN v ELSE 't' END), '') AS line FROM mm)
+SELECT sid AS source_id, CAST(len(regexp_extract_all(line, 't+')) AS BIGINT) AS statements FROM sg WHERE contains(line, 't')""",
+    "token_kinds": rf"""WITH texts AS (SELECT 0 AS sid, sql_text AS x FROM sql_source WHERE sql_text IS NOT NULL), {_LEXED}
+SELECT CASE WHEN v IN ('(', ')', ',', ';') THEN 'symbol' WHEN v[1] IN ('''', '"') THEN 'literal' WHEN regexp_matches(v, '^[#@\[\p{{L}}\p{{N}}_$]') THEN 'identifier' ELSE 'operator' END AS kind, count(*) AS n FROM tk WHERE v <> 'GO' AND trim(v) <> '' GROUP BY 1""",
     "fk_edges": "SELECT 'dbo.n' || n_nationkey AS src_key, 'dbo.r' || n_regionkey AS dst_key, 'references' AS kind FROM nation",
     "reference_forms": f"WITH {_LINES} SELECT DISTINCT s AS src_key, p AS dst_key, 'references' AS kind FROM f UNION SELECT s, su, 'references' FROM f WHERE f <> 'N'",
     "temporary_tables": f"WITH {_LINES} SELECT s AS name, unnest(CASE WHEN f = 'A' THEN ['#t', '#'] ELSE ['#tmp', '#'] END) AS temporary_table FROM f WHERE f IN ('A', 'N')",
@@ -348,9 +376,11 @@ UNION ALL SELECT 'NOCOUNT', CAST(sum(len(regexp_extract_all(x, '(?i)SET\s+NOCOUN
 UNION ALL SELECT 'CURSOR', CAST(sum(len(regexp_extract_all(x, '(?i)\bCURSOR\b'))) AS BIGINT) FROM t
 UNION ALL SELECT 'TEMP_TABLE', CAST(sum(len(regexp_extract_all(x, '#[\p{L}\p{N}_]+'))) AS BIGINT) FROM t
 UNION ALL SELECT 'DYNAMIC_SQL', CAST(sum(len(regexp_extract_all(x, '(?i)sp_executesql|EXEC\s*\('))) AS BIGINT) FROM t""",
-    "file_kinds": f"SELECT {_KIND} AS kind, count(*) AS n FROM sql_file_entry WHERE content IS NOT NULL GROUP BY 1",
-    "scan_summary": f"""WITH k AS (SELECT {_KIND} AS kind FROM (SELECT path, max(content) AS content FROM sql_file_entry WHERE content IS NOT NULL GROUP BY path))
+    "file_kinds": f"WITH {_FILES} SELECT kind, count(*) AS n FROM k GROUP BY 1",
+    "scan_summary": f"""WITH {_FILES}
 SELECT count(*) AS total_sql_files, count(*) FILTER (kind = 'Stored Procedure') AS stored_procedures, count(*) FILTER (kind = 'View') AS views, count(*) FILTER (kind = 'Function') AS functions, count(*) FILTER (kind = 'Script') AS scripts FROM k""",
+    "script_scopes": """SELECT 'scripts/' || s_suppkey || '.sql' AS source_id, 0 AS object_ord, 'script:scripts/' || s_suppkey || '.sql' AS name, '@First' || s_suppkey || ',@Second,@Third' AS variables, 'Before' || s_suppkey || ',Middle' || s_nationkey || ',After' || s_suppkey AS refs FROM supplier
+UNION ALL SELECT 'scripts/' || s_suppkey || '.sql', 1, 'Local' || s_suppkey, '', '' FROM supplier""",
     "source_ids": r"""SELECT sid AS source_id FROM (SELECT regexp_replace(replace(trim(source_id), chr(92), '/'), '^(\./)+', '') AS sid, lang, committed_at FROM sql_source) GROUP BY sid HAVING arg_max(lang, committed_at) = 'tsql'""",
     "edge_cross_references": f"WITH {_EDGES} SELECT s AS source, t AS target, CASE kind WHEN 'executes' THEN 'execute' ELSE 'read' END AS type FROM e",
     "edge_degrees": f"""WITH {_EDGES}, k AS (SELECT s AS name, 1 AS o, 0 AS i FROM e UNION ALL SELECT t, 0, 1 FROM e)

@@ -68,7 +68,7 @@ class Rule(Protocol):
 
 def finding_objects(names: Column) -> Column:
     """Names trimmed, blank ones dropped, distinct in any letter case, in folded order; the first spelling stays."""
-    trimmed = F.filter(F.transform(names, F.trim), lambda x: x != "")
+    trimmed = F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: x != "")
     keyed = F.transform(trimmed, lambda x, i: F.struct(fold(x).alias("k"), i.alias("i"), x.alias("name")))
     ordered = F.array_sort(keyed)
     first = F.filter(ordered, lambda x, i: (i == 0) | (x["k"] != F.try_element_at(ordered, F.greatest(i, F.lit(1)))["k"]))

@@ -88,3 +88,13 @@ def order_batches(lineitem: DataFrame) -> DataFrame:
 def nation_tables(nation: DataFrame) -> DataFrame:
     """Nations as tables with a foreign key to their region; a column reference without one is ignored."""
     return _sources(nation, "tables", c("n_nationkey"), "CREATE TABLE dbo.N", c("n_nationkey"), " (id int, r int, CONSTRAINT fk FOREIGN KEY (r) REFERENCES dbo.R", c("n_regionkey"), " (id));\nGRANT REFERENCES ON dbo.X TO u;")
+
+
+def supplier_scripts(supplier: DataFrame) -> DataFrame:
+    """Suppliers as files with three script batches around a table, each batch with variables of its own."""
+    key = c("s_suppkey")
+    return _sources(
+        supplier, "scripts", key,
+        "DECLARE @First", key, " int; SELECT 1 FROM dbo.Before", key, ";\nGO\nCREATE TABLE dbo.Local", key, " (i int);\nGO\nDECLARE @Second int; SET @first", key,
+        " = 2; SELECT 1 FROM dbo.Middle", c("s_nationkey"), ";\nGO\nSET @Third = 1; EXEC dbo.After", key, "; SELECT 1 FROM DBO.BEFORE", key, ";",
+    )
