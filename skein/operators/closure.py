@@ -10,11 +10,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.chunked import number_rows
-from skein.operators.hierarchy import connected_components
+from skein.operators.hierarchy import _loops, _resolve
 from skein.plans.graph import Graph, _key
 from skein.runtime import materialize, materialize_counting, release
 
-EARLY_ROUNDS = 4  # of trimming, before pieces are told apart; shallow trees are gone by then
+TRIM_ROUNDS = 4  # before chains are contracted; shallow trees are gone by then
+KEPT_APART = 8  # tables of rounds that are read one by one before they are written as one
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _compact(parts: list[DataFrame], label: str) -> list[DataFrame]:
+    """Tables of rounds, written as one whenever there are KEPT_APART of them; the last stays for the next round."""
+    if len(parts) < KEPT_APART:
+        return parts
+    whole = materialize(_union(parts), label)
+    for part in parts[:-1]:
+        release(part)
+    return [whole]
 
 
 def impact(graph: Graph, root: str) -> DataFrame:
@@ -34,10 +52,7 @@ def impact(graph: Graph, root: str) -> DataFrame:
     while True:
         depth += 1
         reached = frontier.select(F.col("node_key").alias("up"), "ord").join(edges, "up").groupBy("node_key").agg(F.min("ord").alias("parent"))
-        done = levels[0].select("node_key")
-        for level in levels[1:]:
-            done = done.unionByName(level.select("node_key"))
-        fresh, n = materialize_counting(reached.join(done, "node_key", "left_anti"), "level", n=F.count(F.lit(1)))
+        fresh, n = materialize_counting(reached.join(_union(levels).select("node_key"), "node_key", "left_anti"), "level", n=F.count(F.lit(1)))
         if not n["n"]:
             break
         # A level is numbered over range partitions, not in one window.
@@ -46,12 +61,9 @@ def impact(graph: Graph, root: str) -> DataFrame:
             numbered.join(graph.nodes.select("node_key", "name"), "node_key").select("node_key", "name", (F.col("_pos") + F.lit(total)).alias("ord"), F.lit(depth).alias("depth")), "level"
         )
         release(fresh)
-        levels.append(frontier)
+        levels = _compact([*levels, frontier], "impact")
         total += n["n"]
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out.select("ord", "name", "depth")
+    return _union(levels).select("ord", "name", "depth")
 
 
 def impact_paths(graph: Graph, root: str, max_depth: int | None = None) -> DataFrame:
@@ -81,22 +93,29 @@ def strong_components(edges: DataFrame) -> DataFrame:
     """(node_key, component) of the nodes that lie on some loop of more than one node.
 
     component is the least key of the component. Nodes without an edge in or
-    out on their side cannot be on a loop and are trimmed; then each node takes
-    on the greatest key that reaches it, and the nodes that reach that key
-    inside its colour are its component. Both repeat on what is left. Both also
-    take a round for each step of a long chain or loop, so pieces of the graph
-    that are trees or plain loops are told by counting, without them.
+    out on their side cannot be on a loop and are trimmed. Chains of nodes with
+    one edge in and one out are contracted to one edge, by pointers that double
+    their reach, so that long loops and long tails take a number of rounds that
+    grows with the logarithm of their length; plain loops end there. In what is
+    left without chains each node takes on the greatest key that reaches it, and
+    the nodes that reach that key inside its colour are its component. A chain
+    belongs to the component that holds both its ends.
     """
     left = materialize(edges.select("src_key", "dst_key").filter("src_key <> dst_key").distinct(), "scc-edges")
     found: list[DataFrame] = []
-    left, n = _trim(left, EARLY_ROUNDS)
-    if n:
-        rings, left = _plain_pieces(left)
-        found.append(rings)
+    chains: list[DataFrame] = []
     while True:
-        left, n = _trim(left)
+        left, n, stable = _trim(left)
         if not n:
             break
+        shorter, chain, rings = _contract_chains(left)
+        if chain is not None:
+            chains.append(chain)
+            found.append(rings)
+            left = shorter
+            continue
+        if not stable:
+            continue
         colours = _flood(left.select("src_key", "dst_key"), left.select(F.col("src_key").alias("node_key")).unionByName(left.select(F.col("dst_key").alias("node_key"))).distinct())
         inside = _same_colour(left, colours)
         roots = colours.filter("node_key = colour").select("node_key", "colour")
@@ -110,38 +129,59 @@ def strong_components(edges: DataFrame) -> DataFrame:
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
+    for chain in reversed(chains):
+        out = materialize(_unfold(chain, out), "components")
     least = out.groupBy("component").agg(F.min("node_key").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     return out.join(least, "component").select("node_key", F.col("least").alias("component"))
 
 
-def _plain_pieces(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node_key, component) of the pieces that are one plain loop, and the edges of those that are neither loop nor tree.
+def _contract_chains(edges: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Edges with every chain made one edge; the chains (node_key, enters, leaves); plain loops (node_key, component).
 
-    A connected piece with an edge less than it has nodes is a tree and holds no
-    loop; one whose nodes all have one edge in and one out is a loop.
+    Nothing but the edges where no node has just one edge in and one out.
     """
-    of = materialize(connected_components(edges.select(F.col("src_key").alias("a"), F.col("dst_key").alias("b"))), "pieces")
     ends = edges.select(F.col("src_key").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("dst_key").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
-    nodes = ends.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).join(of, "node")
-    pieces = nodes.groupBy("component").agg(F.sum("o").alias("e"), F.count(F.lit(1)).alias("n"), F.bool_and(F.expr("o = 1 and i = 1")).alias("ring"))
-    kinds = materialize(of.join(pieces, "component").select("node", "component", "ring", (F.col("e") < F.col("n")).alias("tree")), "pieces")
-    rings = kinds.filter("ring").select(F.col("node").alias("node_key"), "component")
-    rest = kinds.filter("not ring and not tree").select(F.col("node").alias("src_key"))
-    return rings, materialize(edges.join(rest, "src_key"), "scc-edges")
-
-
-def _trim(edges: DataFrame, rounds: int | None = None) -> tuple[DataFrame, int]:
-    """Edges whose source is some target and whose target is some source, until none falls away or for some rounds; and their number."""
-    before, done = None, 0
-    while True:
+    inner, n = materialize_counting(ends.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).filter("o = 1 and i = 1").select("node"), "chain-nodes", n=F.count(F.lit(1)))
+    if not n["n"]:
+        return edges, None, None
+    is_src, is_dst = inner.select(F.col("node").alias("src_key"), F.lit(True).alias("s")), inner.select(F.col("node").alias("dst_key"), F.lit(True).alias("d"))
+    marked = materialize(edges.join(is_src, "src_key", "left").join(is_dst, "dst_key", "left").select("src_key", "dst_key", F.coalesce("s", F.lit(False)).alias("s"), F.coalesce("d", F.lit(False)).alias("d")), "marked")
+    links = marked.filter("s and d").select(F.col("src_key").alias("node"), F.col("dst_key").alias("anc"), F.lit(None).cast("string").alias("place"))
+    resolved, rings, stuck = _resolve(materialize(links, "chain-links"), local=True)
+    if stuck is not None:
+        rings = rings.unionByName(_loops(materialize(stuck, "stuck")))
+    # The last node of a chain names it.
+    lasts = marked.filter("s and not d").select(F.col("src_key").alias("last"), F.col("dst_key").alias("leaves"))
+    of = resolved.select("node", F.col("anc").alias("last")).unionByName(lasts.select(F.col("last").alias("node"), "last"))
+    heads = marked.filter("d and not s").select(F.col("dst_key").alias("node"), F.col("src_key").alias("enters")).join(of, "node").select("last", "enters")
+    whole = materialize(heads.join(lasts, "last"), "chain-ends")
+    chain = materialize(of.join(whole, "last").select(F.col("node").alias("node_key"), "enters", "leaves"), "chains")
+    kept = marked.filter("not s and not d").select("src_key", "dst_key").unionByName(whole.filter("enters <> leaves").select(F.col("enters").alias("src_key"), F.col("leaves").alias("dst_key")))
+    return materialize(kept.distinct(), "scc-edges"), chain, materialize(rings.select(F.col("node").alias("node_key"), F.col("loop_key").alias("component")), "rings")
+
+
+def _unfold(chain: DataFrame, comp: DataFrame) -> DataFrame:
+    """``comp`` with the chains whose ends lie in one component, or that return to the node they leave."""
+    a = comp.select(F.col("node_key").alias("enters"), F.col("component").alias("ca"))
+    b = comp.select(F.col("node_key").alias("leaves"), F.col("component").alias("cb"))
+    ended = chain.join(a, "enters", "left").join(b, "leaves", "left")
+    inside = ended.filter("ca = cb or enters = leaves").select("node_key", "enters", F.coalesce("ca", "enters").alias("component"), F.col("ca").isNull().alias("fresh"))
+    anchors = inside.filter("fresh").select(F.col("enters").alias("node_key"), "component").distinct()
+    return comp.select("node_key", "component").unionByName(inside.select("node_key", "component")).unionByName(anchors)
+
+
+def _trim(edges: DataFrame) -> tuple[DataFrame, int, bool]:
+    """Edges whose source is some target and whose target is some source, after some rounds; their number; whether no more would fall away."""
+    before = None
+    for _ in range(TRIM_ROUNDS):
         kept = edges.join(edges.select(F.col("dst_key").alias("src_key")).distinct(), "src_key", "left_semi").join(edges.select(F.col("src_key").alias("dst_key")).distinct(), "dst_key", "left_semi")
         kept, n = materialize_counting(kept.select("src_key", "dst_key"), "scc-edges", n=F.count(F.lit(1)))
         release(edges)
         edges = kept
-        done += 1
-        if n["n"] in (before, 0) or done == rounds:
-            return edges, n["n"]
+        if n["n"] in (before, 0):
+            return edges, n["n"], True
         before = n["n"]
+    return edges, before, False
 
 
 def _flood(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -165,15 +205,15 @@ def _same_colour(edges: DataFrame, colours: DataFrame) -> DataFrame:
 
 def _reach_back(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """All nodes that reach a root along edges of its colour."""
-    done = materialize(roots, "members")
-    frontier = done
+    done = [materialize(roots, "members")]
+    frontier = done[0]
     while True:
         step = edges.join(frontier.withColumnRenamed("node_key", "dst_key"), "dst_key").select(F.col("src_key").alias("node_key"), "colour").distinct()
-        step, n = materialize_counting(step.join(done.select("node_key"), "node_key", "left_anti"), "members", n=F.count(F.lit(1)))
+        step, n = materialize_counting(step.join(_union(done).select("node_key"), "node_key", "left_anti"), "members", n=F.count(F.lit(1)))
         if not n["n"]:
-            return done
+            return _union(done)
         frontier = step
-        done = done.unionByName(step)
+        done = _compact([*done, step], "members")
 
 
 def cycles(graph: Graph) -> DataFrame:

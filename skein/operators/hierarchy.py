@@ -6,7 +6,8 @@ offset from it. What crosses partitions is then merged by joins in which each
 pointer takes on the pointer of what it points at and adds the offset, so the
 rounds grow with the logarithm of the number of crossings. Merging forests two
 by two down to one task would gather all links there; the joins keep every
-round spread. Pointers that no round can end lie on loops or below them.
+round spread. Loops that lie whole in a partition are told there; pointers that
+no round can end lie on loops across partitions or below them.
 """
 
 from __future__ import annotations
@@ -35,48 +36,71 @@ def executes_links(edges: DataFrame) -> DataFrame:
 
 
 def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The weighted disjoint-set forest of one partition's links.
+    """The weighted disjoint-set forest of one partition's links: (node, anc, steps, loop_key).
 
     Each node keeps (top, offset). Path compression runs over all nodes at once:
     a node whose top has a link takes over that node's top and adds its offset,
-    until nothing moves. Nodes on a loop inside the partition never settle; they
-    and what hangs below them keep their own links.
+    until nothing moves. Nodes that never settle lie on or below loops that are
+    whole in the partition: a loop's nodes get its least name as loop_key and no
+    pointer, those below point at the node of the loop that they meet.
     """
     pdf = pd.concat(list(batches), ignore_index=True)
     if pdf.empty:
         return
-    codes, names = pd.factorize(pd.concat([pdf["node"], pdf["anc"]], ignore_index=True))
+    codes, names = pd.factorize(pd.concat([pdf["node"], pdf["anc"]], ignore_index=True), sort=True)
     n = len(pdf)
     child, parent = codes[:n], codes[n:]
-    top = np.arange(len(names))
-    top[child] = parent
-    offset = np.zeros(len(names), dtype=np.int64)
-    offset[child] = 1
     linked = np.zeros(len(names), dtype=bool)
     linked[child] = True
-    for _ in range(int(np.ceil(np.log2(n + 1))) + 1):
-        moving = linked[top]
-        if not moving.any():
-            break
-        offset, top = np.where(moving, offset + offset[top], offset), np.where(moving, top[top], top)
-    stuck = linked[top[child]]
-    pdf["anc"] = np.where(stuck, pdf["anc"], names[top[child]])
-    pdf["steps"] = np.where(stuck, 1, offset[child])
-    yield pdf[["node", "anc", "steps"]]
-
-
-def _resolve(links: DataFrame, local: bool) -> tuple[DataFrame, DataFrame]:
-    """All (node, anc, steps) whose anc has no link, and the links left over on or below loops.
+    rounds = int(np.ceil(np.log2(n + 1))) + 1
+
+    def settle() -> tuple[np.ndarray, np.ndarray]:
+        top = np.arange(len(names))
+        top[child] = parent
+        top[~linked] = np.flatnonzero(~linked)
+        offset = linked.astype(np.int64)
+        for _ in range(rounds):
+            moving = linked[top]
+            if not moving.any():
+                break
+            offset, top = np.where(moving, offset + offset[top], offset), np.where(moving, top[top], top)
+        return top, offset
+
+    top, offset = settle()
+    loop = np.full(len(names), -1)
+    ring = np.unique(top[linked & linked[top]])  # after so many steps up, only nodes on loops are left
+    if len(ring):
+        at = np.arange(len(names))
+        at[child] = parent
+        low = np.arange(len(names))  # names are in order, so codes compare as they do
+        for _ in range(rounds):
+            low[ring], at[ring] = np.minimum(low[ring], low[at[ring]]), at[at[ring]]
+        loop[ring] = low[ring]
+        linked[ring] = False
+        top, offset = settle()
+    on = loop[child] >= 0
+    found = np.asarray(names, dtype=object)
+    pdf["anc"] = np.where(on, None, found[top[child]])
+    pdf["steps"] = offset[child]
+    pdf["loop_key"] = np.where(on, found[loop[child]], None)
+    yield pdf[["node", "anc", "steps", "loop_key"]]
+
+
+def _resolve(links: DataFrame, local: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """All (node, anc, steps) whose anc has no link or lies on a loop of one partition; the nodes of those
+    loops (node, loop_key); and the links left over on or below loops that cross partitions.
 
     ``links``: materialized (node, anc, place), one row for a node.
     """
     if local:
         # Trees mostly stay within a repository; the node splits large ones.
         placed = links.repartitionByRange("place", "node").select("node", "anc")
-        pointers = placed.mapInPandas(_contract, "node string, anc string, steps long")
+        contracted = materialize(placed.mapInPandas(_contract, "node string, anc string, steps long, loop_key string"), "pointers")
+        pointers = contracted.filter("anc is not null").select("node", "anc", "steps")
+        rings = contracted.filter("loop_key is not null").select("node", "loop_key")
     else:
-        pointers = links.select("node", "anc", F.lit(1).cast("long").alias("steps"))
-    pointers = materialize(pointers, "pointers")
+        pointers = materialize(links.select("node", "anc", F.lit(1).cast("long").alias("steps")), "pointers")
+        rings = links.select("node", F.col("anc").alias("loop_key")).limit(0)
     as_far = lambda d: d.select(F.col("node").alias("anc"), F.col("anc").alias("far"), F.col("steps").alias("more"))
     ended: list[DataFrame] = []
     left = None
@@ -88,7 +112,8 @@ def _resolve(links: DataFrame, local: bool) -> tuple[DataFrame, DataFrame]:
             "node", F.coalesce("far", "anc").alias("anc"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("far").isNull().alias("ended")
         )
         step, n = materialize_counting(step, "pointers", left=F.count_if(~F.col("ended")))
-        release(pointers)
+        if left is not None:
+            release(pointers)
         ended.append(step.filter("ended").drop("ended"))
         if n["left"] == 0 or n["left"] == left:
             break
@@ -97,8 +122,8 @@ def _resolve(links: DataFrame, local: bool) -> tuple[DataFrame, DataFrame]:
     for done in ended[1:]:
         resolved = resolved.unionByName(done)
     if n["left"] == 0:
-        return resolved, None
-    return resolved, step.filter("not ended").select("node").join(links.select("node", "anc"), "node")
+        return resolved, rings, None
+    return resolved, rings, step.filter("not ended").select("node").join(links.select("node", "anc"), "node")
 
 
 def _loops(links: DataFrame) -> DataFrame:
@@ -142,22 +167,22 @@ def resolve_hierarchy(links: DataFrame) -> DataFrame:
         links.filter("child is not null and parent is not null").groupBy(F.col("child").alias("node")).agg(F.min(F.struct("parent", "place")).alias("l")).select("node", F.col("l.parent").alias("anc"), F.col("l.place").alias("place")),
         "own-links",
     )
-    resolved, stuck = _resolve(own, local=True)
+    resolved, rings, stuck = _resolve(own, local=True)
     everyone = links.select(F.col("child").alias("node")).unionByName(links.select(F.col("parent").alias("node"))).filter("node is not null").distinct()
     tops = everyone.join(own.select("node"), "node", "left_anti").select("node", F.col("node").alias("anc"), F.lit(0).cast("long").alias("steps"))
     zero = F.lit(0).cast("long")
-    out = resolved.unionByName(tops).select(F.col("node").alias("node_key"), F.col("anc").alias("root_key"), F.col("steps").alias("depth"), zero.alias("in_cycle"))
-    if stuck is None:
-        return out
-    stuck = materialize(stuck, "stuck")
-    ring = _loops(stuck)
-    below = stuck.join(ring.select("node"), "node", "left_anti").withColumn("place", F.lit(None).cast("string"))
-    hanging, _ = _resolve(materialize(below, "below"), local=False)
-    loop_of = ring.select(F.col("node").alias("anc"), "loop_key")
-    return out.unionByName(
-        ring.select(F.col("node").alias("node_key"), F.col("loop_key").alias("root_key"), zero.alias("depth"), F.lit(1).cast("long").alias("in_cycle"))
-    ).unionByName(
-        hanging.join(loop_of, "anc").select(F.col("node").alias("node_key"), F.col("loop_key").alias("root_key"), F.col("steps").alias("depth"), zero.alias("in_cycle"))
+    if stuck is not None:
+        stuck = materialize(stuck, "stuck")
+        across = _loops(stuck)
+        below = stuck.join(across.select("node"), "node", "left_anti").withColumn("place", F.lit(None).cast("string"))
+        hanging, _, _ = _resolve(materialize(below, "below"), local=False)
+        resolved, rings = resolved.unionByName(hanging), rings.unionByName(across)
+    loop_of = rings.select(F.col("node").alias("anc"), "loop_key")
+    pointed = resolved.join(loop_of, "anc", "left").select("node", F.coalesce("loop_key", "anc").alias("anc"), "steps")
+    return (
+        pointed.unionByName(tops)
+        .select(F.col("node").alias("node_key"), F.col("anc").alias("root_key"), F.col("steps").alias("depth"), zero.alias("in_cycle"))
+        .unionByName(rings.select(F.col("node").alias("node_key"), F.col("loop_key").alias("root_key"), zero.alias("depth"), F.lit(1).cast("long").alias("in_cycle")))
     )
 
 
@@ -202,7 +227,7 @@ def loop_pairs(links: DataFrame, roots: DataFrame) -> DataFrame:
     ring = materialize(roots.filter("in_cycle = 1").select(F.col("node_key").alias("node"), F.col("root_key").alias("loop_key")), "ring")
     own = links.filter("child is not null and parent is not null").groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("anc"))
     opened = own.join(ring.filter("node <> loop_key").select("node"), "node").withColumn("place", F.lit(None).cast("string"))
-    placed, _ = _resolve(materialize(opened, "opened"), local=False)
+    placed, _, _ = _resolve(materialize(opened, "opened"), local=True)
     at = placed.select("node", F.col("anc").alias("loop_key"), "steps").unionByName(ring.filter("node = loop_key").withColumn("steps", F.lit(0).cast("long")))
     at = materialize(at, "places")
     size = at.groupBy("loop_key").agg(F.count(F.lit(1)).alias("size"))

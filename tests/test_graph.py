@@ -95,6 +95,20 @@ def test_strong_components_against_reachability(spark):
     assert got == _components(edges)
 
 
+def test_long_loops_and_tails_take_few_rounds(spark, monkeypatch):
+    edges = [(f"r{i:05}", f"r{(i + 1) % 3000:05}") for i in range(3000)]  # a plain loop
+    edges += [(f"c{i:05}", f"c{(i + 1) % 2000:05}") for i in range(2000)] + [("c00500", "c01500"), ("c01000", "c00100")]  # a loop with chords
+    edges += [(f"t{i:05}", f"t{i + 1:05}") for i in range(2000)] + [("t02000", "c00000"), ("r00007", "t00000")]  # a tail between both
+    edges += [("x", f"y{i}") for i in range(1)] + [("y0", "y1"), ("y1", "x"), ("x", "z0"), ("z0", "z1"), ("z1", "x")]  # two loops through one node
+    written = []
+    real = closure.materialize_counting
+    monkeypatch.setattr(closure, "materialize_counting", lambda *a, **k: (written.append(a[1]), real(*a, **k))[1])
+    got = {r["node_key"]: r["component"] for r in closure.strong_components(spark.createDataFrame(edges, "src_key string, dst_key string")).collect()}
+    want = {f"r{i:05}": "r00000" for i in range(3000)} | {f"c{i:05}": "c00000" for i in range(2000)} | dict.fromkeys(["x", "y0", "y1", "z0", "z1"], "x")
+    assert got == want
+    assert len(written) < 40
+
+
 def test_cycles(make):
     found = closure.cycles(make([("A", "B"), ("B", "C"), ("C", "A"), ("A", "C"), ("Z", "Z"), ("Alpha", "Beta", "executes"), ("BETA", "ALPHA"), ("X", "A")]))
     rows = {tuple(m.casefold() for m in r["members"]): (r["is_self_reference"], len(r["edges"])) for r in found.collect()}
@@ -114,6 +128,13 @@ def test_dead_objects(make):
         dead.detect(graph, ["missing"])
 
 
+def test_impact_of_many_levels(make):
+    graph = make([(f"n{i + 1:02}", f"n{i:02}") for i in range(20)] + [("n05", "n19"), ("m", "n03")])
+    found = [(r["ord"], r["name"], r["depth"]) for r in closure.impact(graph, "n00").orderBy("ord").collect()]
+    assert [o for o, _, _ in found] == list(range(22))
+    assert {n: d for _, n, d in found} == {f"n{i:02}": i for i in range(21)} | {"m": 4}
+
+
 def _corpus(spark):
     return sources(
         spark, z__a="CREATE VIEW dbo.A AS SELECT * FROM dbo.B", b="CREATE VIEW dbo.B AS SELECT * FROM dbo.A", o="CREATE VIEW dbo.Orphan AS SELECT 1 AS x", **{"s__<dyn>": "EXEC (@x)", "empty": ""}
