@@ -24,12 +24,19 @@ from skein.runtime import materialize
 
 
 def _number(batches: Iterator[pa.RecordBatch], key: str, sums: Sequence[str], previous: Sequence[str], names: list[str]):
-    """Positions, running sums and previous values of a sorted partition, batch by batch."""
+    """Positions, running sums and previous values of a sorted partition, batch by batch.
+
+    At the end come the states of its first and last key, the only ones that
+    other partitions can share: rows with ``_state`` that hold the key, and
+    counts, sums and last values in place of positions, sums and previous ones.
+    """
     pid = TaskContext.get().partitionId()
     open_key = None
     count = 0
     totals = dict.fromkeys(sums, 0)
     before: dict[str, pa.Scalar] = {}
+    first: dict = {"open": True, "rows": 0, "sums": dict.fromkeys(sums, 0), "last": {}}
+    schema = None
     for batch in batches:
         n = batch.num_rows
         if n == 0:
@@ -40,27 +47,47 @@ def _number(batches: Iterator[pa.RecordBatch], key: str, sums: Sequence[str], pr
             fresh[1:] = pc.not_equal(keys.slice(1), keys.slice(0, n - 1)).to_numpy(zero_copy_only=False)
         fresh[0] = open_key is None or keys[0].as_py() != open_key
         starts = np.flatnonzero(fresh)
+        others = starts[1:] if open_key is None else starts  # where keys other than the partition's first begin
+        lead = 0
+        if first["open"]:
+            lead = int(others[0]) if len(others) else n
+            first["rows"] += lead
+            first["open"] = not len(others)
+            first.setdefault("key", keys[0].as_py())
         at = np.maximum.accumulate(np.where(fresh, np.arange(n), -1))
         position = np.arange(n) - np.maximum(at, 0) + np.where(at < 0, count, 0)
-        added = [pa.array(np.full(n, pid, dtype=np.int32)), pa.array(position.astype(np.int64))]
+        added = [pa.array(np.full(n, pid, dtype=np.int32)), pa.array(np.zeros(n, dtype=bool)), pa.array(position.astype(np.int64))]
         for s in sums:
             values = batch.column(names.index(s)).to_numpy(zero_copy_only=False).astype(np.int64)
             run = np.cumsum(values)
+            first["sums"][s] += int(run[lead - 1]) if lead else 0
             base = np.where(at < 0, -totals[s], np.where(at > 0, run[np.maximum(at, 1) - 1], 0))
             run = run - base
             totals[s] = int(run[-1])
             added.append(pa.array(run))
         for p in previous:
             values = batch.column(names.index(p))
-            first = pa.array([None if fresh[0] else before[p].as_py()], type=values.type)
-            shifted = pa.concat_arrays([first, values.slice(0, n - 1)])
+            one = pa.array([None if fresh[0] else before[p].as_py()], type=values.type)
+            shifted = pa.concat_arrays([one, values.slice(0, n - 1)])
             if len(starts):
                 shifted = pc.if_else(pa.array(fresh), pa.scalar(None, type=values.type), shifted)
             added.append(shifted)
             before[p] = values[n - 1]
+            if lead:
+                first["last"][p] = values[lead - 1]
         open_key = keys[n - 1].as_py()
         count = int(position[-1]) + 1
-        yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*names, "_pid", "_pos", *(f"_run_{s}" for s in sums), *(f"_prev_{p}" for p in previous)])
+        out = pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*names, "_pid", "_state", "_pos", *(f"_run_{s}" for s in sums), *(f"_prev_{p}" for p in previous)])
+        schema = out.schema
+        yield out
+    if schema is None:
+        return
+    states = [(first["key"], first["rows"], first["sums"], first["last"])]
+    if not first["open"]:
+        states.append((open_key, count, totals, before))
+    for k, n, total, last in states:
+        row = dict.fromkeys(schema.names) | {key: k, "_pid": pid, "_state": True, "_pos": n} | {f"_run_{s}": v for s, v in total.items()} | {f"_prev_{p}": v.as_py() for p, v in last.items()}
+        yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], type=f.type) for f in schema], schema=schema)
 
 
 def number_rows(
@@ -81,7 +108,7 @@ def number_rows(
     An empty input gives an empty result. Columns of the input that are named
     like an added or internal one (leading underscore) are left out.
     """
-    taken = {"_pid", "_pos", "_tie", "_n", "_last", "_o", "_before", *(f"{p}{s}" for s in sums for p in ("_run_", "_s_", "_o_")), *(f"_prev_{p}" for p in previous)}
+    taken = {"_pid", "_state", "_pos", "_tie", "_n", "_last", "_o", "_before", *(f"{p}{s}" for s in sums for p in ("_run_", "_s_", "_o_")), *(f"_prev_{p}" for p in previous)}
     df = df.select(*[c for c in df.columns if c.lower() not in taken or c in (key, *order_by, *sums, *previous)])
     cols = df.columns
     df = df.filter(F.col(key).isNotNull()).withColumns({s: F.coalesce(F.col(s).cast("long"), F.lit(0)) for s in sums})
@@ -90,18 +117,17 @@ def number_rows(
     by: list[Column] = [F.col(c) for c in [key, *order_by, "_tie"]]
     ranged = tied.repartitionByRange(partitions, *by) if partitions else tied.repartitionByRange(*by)
     ranged = ranged.sortWithinPartitions(*by).drop("_tie")
-    schema = T.StructType(list(ranged.schema.fields))
-    for name, kind in [("_pid", T.IntegerType()), ("_pos", T.LongType()), *((f"_run_{s}", T.LongType()) for s in sums)]:
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in ranged.schema.fields])
+    for name, kind in [("_pid", T.IntegerType()), ("_state", T.BooleanType()), ("_pos", T.LongType()), *((f"_run_{s}", T.LongType()) for s in sums)]:
         schema = schema.add(name, kind)
     for p in previous:
         schema = schema.add(f"_prev_{p}", df.schema[p].dataType)
-    local = materialize(ranged.mapInArrow(lambda it: _number(it, key, sums, previous, cols), schema), label)
+    written = materialize(ranged.mapInArrow(lambda it: _number(it, key, sums, previous, cols), schema), label)
+    local = written.filter("not _state")
 
-    # The state each partition hands on: rows, sums and last values of its keys.
-    last = F.max_by(F.struct(*[F.col(p) for p in previous]), F.col("_pos")) if previous else F.lit(None)
-    states = local.groupBy("_pid", key).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(s).alias(f"_s_{s}") for s in sums], last.alias("_last")
-    )
+    # What partitions hand on: rows, sums and last values of their first and last keys, two rows for each.
+    last = F.struct(*[F.col(f"_prev_{p}").alias(p) for p in previous]) if previous else F.lit(None)
+    states = written.filter("_state").select("_pid", key, F.col("_pos").alias("_n"), *[F.col(f"_run_{s}").alias(f"_s_{s}") for s in sums], last.alias("_last"))
     w = Window.partitionBy(key).orderBy("_pid")
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -167,6 +193,16 @@ def edge_target_stats(edges: DataFrame, chunk_rows: int = 1_000_000) -> DataFram
     )
 
 
+def dependent_entries(records: DataFrame) -> DataFrame:
+    """(name_key, entry): the dependents in the latest delivery of each object_id."""
+    from skein.functions.names import name_key
+
+    latest = records.groupBy("object_id").agg(
+        F.max_by(F.struct("name", "dependents"), F.col("ingested_at")).alias("r")
+    )
+    return latest.select(name_key("r.name").alias("name_key"), F.explode("r.dependents").alias("entry"))
+
+
 def dependent_stats(records: DataFrame, chunk_rows: int = 1_000_000) -> DataFrame:
     """Per record name key: entries of dependents and different dependents.
 
@@ -176,11 +212,7 @@ def dependent_stats(records: DataFrame, chunk_rows: int = 1_000_000) -> DataFram
     """
     from skein.functions.names import name_key
 
-    latest = records.groupBy("object_id").agg(
-        F.max_by(F.struct("name", "dependents"), F.col("ingested_at")).alias("r")
-    )
-    entries = latest.select(name_key("r.name").alias("name_key"), F.explode("r.dependents").alias("entry"))
-    entries = entries.select("name_key", name_key("entry").alias("dependent"))
+    entries = dependent_entries(records).select("name_key", name_key("entry").alias("dependent"))
     numbered = number_rows(entries, "name_key", ["dependent"], previous=["dependent"], label="dependents")
     is_new = F.col("dependent").isNotNull() & ~F.col("dependent").eqNullSafe(F.col("_prev_dependent"))
     chunks = chunk_states(
@@ -189,6 +221,23 @@ def dependent_stats(records: DataFrame, chunk_rows: int = 1_000_000) -> DataFram
     return chunks.groupBy("name_key").agg(F.sum("rows").alias("n_entries"), F.sum("fresh").alias("n_dependents"))
 
 
+def key_offsets(rows: DataFrame, key: str) -> DataFrame:
+    """(key, part, n, before): how many rows of a key each input partition holds, and how many lie in earlier ones.
+
+    Counted inside the partitions, so what is shuffled is one row for each key
+    of a partition; a hot key gives no more rows than there are partitions.
+    Null keys are dropped.
+    """
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key, F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+
+
+def key_totals(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n_rows): where the offsets of a key end. A count needs no more of the chunking: rows are neither numbered nor sorted."""
+    return key_offsets(rows, key).groupBy(key).agg(F.max(F.col("before") + F.col("n")).alias("n_rows"))
+
+
 def heavy_keys(stats: DataFrame, count: str, share: float) -> DataFrame:
     """The keys of ``stats`` that hold at least ``share`` of the sum of ``count``."""
     stats = materialize(stats, "per-key")

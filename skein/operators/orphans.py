@@ -11,7 +11,8 @@ from skein.runtime import materialize
 
 BITS = 32768  # of one bitmap, as bitmap_construct_agg makes it
 PROBES = 4
-MAX_BITMAPS = 2048  # 8 MB: the most that is ever broadcast
+MAX_BITMAPS = 2048  # 8 MB: the most that is ever broadcast; larger filters are joined by bucket
+SALT = 16  # copies of a bitmap where a larger filter is joined, so that a hot key is spread
 
 
 def _probes(key: str):
@@ -21,30 +22,41 @@ def _probes(key: str):
 def bloom_filter(keys: DataFrame, key: str, bits_per_key: int = 16) -> tuple[DataFrame, int]:
     """A blocked Bloom filter of ``key`` as a table (bucket, bits), and its bucket count.
 
-    Every key sets PROBES bits in one bitmap of 32,768. The table has at most
-    MAX_BITMAPS rows of 4 KB however many keys there are; beyond that the share
-    of false positives rises, which costs time in the exact step but no result.
+    Every key sets PROBES bits in one bitmap of 32,768. There are as many
+    bitmaps as the keys need, so the share of false positives is the same for
+    any number of keys.
     """
     n = keys.agg(F.approx_count_distinct(key)).first()[0]
-    buckets = max(1, min(MAX_BITMAPS, -(-n * bits_per_key // BITS)))
+    buckets = max(1, -(-n * bits_per_key // BITS))
     bits = keys.select(
         F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"), F.explode(F.array(*_probes(key))).alias("bit")
     )
     return bits.groupBy("bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")), buckets
 
 
-def probe(refs: DataFrame, key: str, bloom: DataFrame, buckets: int) -> DataFrame:
-    """``refs`` plus ``may_exist``: false proves that the key is in no record."""
+def probe(refs: DataFrame, key: str, bloom: DataFrame, buckets: int, max_bitmaps: int = MAX_BITMAPS) -> DataFrame:
+    """``refs`` plus ``may_exist``: false proves that the key is in no record.
+
+    A filter of at most ``max_bitmaps`` bitmaps of 4 KB is broadcast. A larger
+    one meets the rows by bucket instead, each bitmap in SALT copies so that a
+    hot key fills no task. Columns of ``refs`` named bucket, bits or salt are
+    left out.
+    """
     hit = F.lit(True)
     for p in _probes(key):
-        byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(p / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        # The byte of a bit, as a number: one character of the bitmap read as Latin-1.
+        byte = F.ascii(F.decode(F.substring(F.col("bits"), (F.floor(p / 8) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
         hit = hit & (F.call_function("getbit", byte, (p % 8).cast("int")) == 1)
-    return (
-        refs.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
-        .join(F.broadcast(bloom), "bucket", "left")
-        .withColumn("may_exist", F.col("bits").isNotNull() & F.coalesce(hit, F.lit(False)))
-        .drop("bucket", "bits")
-    )
+    refs = refs.drop("bucket", "bits", "salt")
+    by = ["bucket"]
+    rows = refs.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    if buckets <= max_bitmaps:
+        bloom = F.broadcast(bloom)
+    else:
+        by = ["bucket", "salt"]
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in refs.columns]), F.lit(SALT)))
+        bloom = bloom.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    return rows.join(bloom, by, "left").withColumn("may_exist", F.col("bits").isNotNull() & F.coalesce(hit, F.lit(False))).drop("bits", *by)
 
 
 def references(edges: DataFrame, nodes: DataFrame, system: DataFrame) -> DataFrame:

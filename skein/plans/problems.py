@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions.names import name_key
 from skein.operators import chunked, hierarchy, orphans
 from skein.runtime import load, materialize
 
@@ -34,8 +35,8 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Names holding at least 1.5 percent of the edges' targets or of the records' dependents."""
     edges, records = load(spark, d, EDGE, RECORD)
-    by_target = chunked.heavy_keys(chunked.edge_target_stats(edges), "n_rows", HEAVY)
-    by_name = chunked.heavy_keys(chunked.dependent_stats(records), "n_entries", HEAVY)
+    by_target = chunked.heavy_keys(chunked.key_totals(edges.select(name_key("target").alias("name_key")), "name_key"), "n_rows", HEAVY)
+    by_name = chunked.heavy_keys(chunked.key_totals(chunked.dependent_entries(records), "name_key"), "n_rows", HEAVY)
     return by_target.select(F.lit(EDGE).alias("table_name"), "name_key").unionByName(
         by_name.select(F.lit(RECORD).alias("table_name"), "name_key")
     )

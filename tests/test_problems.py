@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from skein.operators import chunked, hierarchy, orphans
 from skein.plans import problems
@@ -76,6 +77,19 @@ def test_dependent_stats_latest_delivery_counts(spark):
     assert out == {"x": (7, 3)}
 
 
+def test_offsets_count_every_partition(spark):
+    rng = random.Random(4)
+    data = [("hot" if rng.random() < 0.5 else rng.choice(["a", "b", None]),) for _ in range(900)]
+    df = spark.createDataFrame(data, "k string").repartition(5)
+    rows = chunked.key_offsets(df, "k").collect()
+    want = Counter(k for (k,) in data if k)
+    for k, n in want.items():
+        own = sorted((r["part"], r["n"], r["before"]) for r in rows if r["k"] == k)
+        assert [b for _, _, b in own] == [sum(n for _, n, _ in own[:i]) for i in range(len(own))] and sum(n for _, n, _ in own) == n
+    assert {r["k"]: r["n_rows"] for r in chunked.key_totals(df, "k").collect()} == dict(want)
+    assert chunked.key_totals(df.limit(0), "k").count() == 0
+
+
 # ------------------------------------------------------------------ orphans
 def _system(spark):
     return spark.createDataFrame([("Sys.Tables", "System"), (None, None)], "name string, object_type string")
@@ -124,7 +138,10 @@ def test_bloom_filter_has_no_false_negatives_and_a_bound(spark):
     assert orphans.probe(keys, "k", bloom, buckets).filter("not may_exist").count() == 0
     others = spark.range(5000).selectExpr("concat('x', id) as k")
     assert orphans.probe(others, "k", bloom, buckets).filter("may_exist").count() < 250
-    assert bloom.count() <= orphans.MAX_BITMAPS
+    assert bloom.count() <= buckets == -(-keys.agg({"k": "approx_count_distinct"}).first()[0] * 16 // orphans.BITS)
+    joined = orphans.probe(keys.union(others).withColumn("salt", F.lit(1)), "k", bloom, buckets, max_bitmaps=0)
+    assert joined.columns == ["k", "may_exist"] and joined.count() == 10000
+    assert joined.filter("not may_exist and k like 'k%'").count() == 0 and joined.filter("may_exist and k like 'x%'").count() < 250
 
 
 # ---------------------------------------------------------------- hierarchy
