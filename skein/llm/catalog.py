@@ -10,23 +10,21 @@ from skein.llm import corpus, lookalike, mixing, mojibake, neardup, tokens, vali
 from skein.runtime import load, spread
 
 
-def _near(spark: SparkSession, d: str):
-    rows = load(spark, d, "sql_source").withColumn("source_id", normal_source_id("source_id")).filter("source_id <> ''")
-    return neardup.similar_sets(spread(rows), "source_id", "sql_text", latest="committed_at")
+def _named_sources(spark: SparkSession, d: str) -> DataFrame:
+    return spread(load(spark, d, "sql_source")).withColumn("source_id", normal_source_id("source_id")).filter("source_id <> ''")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of sources whose texts share at least 0.7 of their runs of three words."""
-    return neardup.member_pairs(*_near(spark, d)).select(F.col("id_a").alias("source_id_a"), F.col("id_b").alias("source_id_b"))
+    pairs = neardup.member_pairs(*neardup.similar_sets(_named_sources(spark, d), "source_id", "sql_text", latest="committed_at"))
+    return pairs.select(F.col("id_a").alias("source_id_a"), F.col("id_b").alias("source_id_b"))
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each source: the group it belongs to and the number of sources it is near to."""
+    """One row for each source: the least source of the group it belongs to."""
     everyone = load(spark, d, "sql_source").select(normal_source_id("source_id").alias("source_id")).filter("source_id <> ''").distinct()
-    found = neardup.groups(*_near(spark, d)).withColumnRenamed("id", "source_id")
-    return everyone.join(found, "source_id", "left").select(
-        "source_id", F.coalesce("group_id", "source_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
+    found = neardup.groups(_named_sources(spark, d), "source_id", "sql_text", latest="committed_at").withColumnRenamed("id", "source_id")
+    return everyone.join(found, "source_id", "left").select("source_id", F.coalesce("group_id", "source_id").alias("group_id"))
 
 
 def _examined(spark: SparkSession, d: str) -> DataFrame:
@@ -111,10 +109,15 @@ QUERIES = {
 _STATES = """s AS (SELECT * FROM (SELECT regexp_replace(replace(trim(source_id), chr(92), '/'), '^(\\./)+', '') AS sid, *,
  row_number() OVER (PARTITION BY regexp_replace(replace(trim(source_id), chr(92), '/'), '^(\\./)+', '') ORDER BY committed_at DESC NULLS LAST, sql_text DESC) AS rn FROM sql_source) WHERE rn = 1)"""
 
-ORACLES = {
-    "p1_found": f"""WITH {_STATES}, w AS (SELECT sid, regexp_extract_all(lower(sql_text), '[a-z0-9_]+') AS w FROM s WHERE sql_text IS NOT NULL),
+_PAIRS = f"""{_STATES}, w AS (SELECT sid, regexp_extract_all(lower(sql_text), '[a-z0-9_]+') AS w FROM s WHERE sql_text IS NOT NULL),
 sh AS (SELECT sid, list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) AS g FROM w WHERE len(w) > 2),
 t AS (SELECT sid, unnest(g) AS g FROM sh), c AS (SELECT sid, len(g) AS n FROM sh),
-b AS (SELECT x.sid AS a, y.sid AS b, count(*) AS k FROM t x JOIN t y ON x.g = y.g AND x.sid < y.sid GROUP BY 1, 2)
-SELECT a AS source_id_a, b AS source_id_b FROM b JOIN c ca ON ca.sid = a JOIN c cb ON cb.sid = b WHERE k >= 0.7 * (ca.n + cb.n - k)""",
+b AS (SELECT x.sid AS a, y.sid AS b, count(*) AS k FROM t x JOIN t y ON x.g = y.g AND x.sid < y.sid GROUP BY 1, 2),
+pair AS MATERIALIZED (SELECT a, b FROM b JOIN c ca ON ca.sid = a JOIN c cb ON cb.sid = b WHERE k >= 0.7 * (ca.n + cb.n - k))"""
+
+ORACLES = {
+    "p1_found": f"WITH {_PAIRS} SELECT a AS source_id_a, b AS source_id_b FROM pair",
+    "p1_groups": f"""WITH RECURSIVE {_PAIRS}, e AS MATERIALIZED (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair),
+r(x, y) AS (SELECT sid, sid FROM s WHERE sid <> '' UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y)
+SELECT x AS source_id, min(y) AS group_id FROM r GROUP BY x""",
 }

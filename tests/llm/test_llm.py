@@ -51,28 +51,73 @@ def near_texts():
     return texts
 
 
-@pytest.mark.parametrize("large", [48, 2])
-def test_similar_sets_finds_every_pair(spark, near_texts, large):
+@pytest.mark.parametrize("block", [128, 3])
+def test_similar_sets_finds_every_pair(spark, near_texts, block, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     df = spark.createDataFrame(list(near_texts.items()), "id string, text string").withColumn("rep", F.lit(1)).withColumn("labels", F.lit(2))
-    pairs, members = neardup.similar_sets(df, "id", "text", large_group=large)
+    pairs, members = neardup.similar_sets(df, "id", "text")
     got = {(r["id_a"], r["id_b"]) for r in neardup.member_pairs(pairs, members).collect()}
     assert got == _near(near_texts)
 
 
 def test_groups_hold_every_near_text_once(spark, near_texts):
     df = spark.createDataFrame(list(near_texts.items()), "id string, text string")
-    rows = neardup.groups(*neardup.similar_sets(df, "id", "text")).collect()
-    want = Counter(x for pair in _near(near_texts) for x in pair)
-    assert {r["id"]: r["n_links"] for r in rows if r["n_links"]} == dict(want)
-    assert all(r["group_id"] == r["id"] for r in rows if not r["n_links"]) and len(rows) == len({r["id"] for r in rows})
+    rows = neardup.groups(df, "id", "text").collect()
     group = {r["id"]: r["group_id"] for r in rows}
-    assert all(group[a] == group[b] for a, b in _near(near_texts))
+    assert len(rows) == len(group) and set(group) == {k for k, t in near_texts.items() if t and _shingles(t)}
+    top = {k: k for k in group}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in _near(near_texts):
+        a, b = sorted((find(a), find(b)))
+        top[b] = a
+    assert group == {k: find(k) for k in group}
+
+
+def test_prefixes_are_as_long_as_what_matches_allows(spark, near_texts):
+    df = spark.createDataFrame(list(near_texts.items()), "id string, text string")
+    short = neardup.build_forest(df, "id", "text")
+    assert short.length == neardup.length_for(0.7, neardup.TARGET_RECALL) == 4
+    rng = random.Random(1)
+    copies = [(f"{f}-{m}", " ".join([*(f"w{f}x{i}" for i in range(300)), f"v{m}"])) for f in range(8) for m in range(4)]
+    rng.shuffle(copies)
+    long = neardup.build_forest(spark.createDataFrame(copies, "id string, text string"), "id", "text")
+    assert long.length == neardup.LEVELS and neardup.recall(0.9, long.length) > neardup.TARGET_RECALL
+
+
+def test_tries_hold_what_neighbours_share(spark, near_texts):
+    forest = neardup.build_forest(spark.createDataFrame(list(near_texts.items()), "id string, text string"), "id", "text")
+    labels = {r["rep"]: r["labels"] for r in forest.sets.collect()}
+    near = {(r["tree"], r["rep"]): r["near"] for r in forest.tries.collect()}
+    width = 2 * neardup.LEVELS
+    for tree in range(0, neardup.TREES, 13):
+        cut = {k: v[tree * width : (tree + 1) * width] for k, v in labels.items()}
+        for k, v in cut.items():
+            shared = max((next((n for n in range(neardup.LEVELS) if v[2 * n : 2 * n + 2] != w[2 * n : 2 * n + 2]), neardup.LEVELS) for o, w in cut.items() if o != k))
+            assert near.get((tree, k), 0) >= shared
+
+
+def test_a_large_cluster_costs_links_in_proportion(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    texts = [(f"t{i:05}", " ".join([*base[: rng.randrange(50, 60)], f"n{i}"])) for i in range(3000)]
+    seen = []
+    real = neardup._verify
+    monkeypatch.setattr(neardup, "_verify", lambda forest, pairs: (seen.append(pairs.count()), real(forest, pairs))[1])
+    rows = neardup.groups(spark.createDataFrame(texts, "id string, text string"), "id", "text").collect()
+    assert len(rows) == 3000 and {r["group_id"] for r in rows} == {"t00000"}
+    assert seen[0] <= 3000 * neardup.TREES and seen[1] == 0
 
 
 def test_no_texts_no_pairs(spark):
     df = spark.createDataFrame([(None, None)], "id string, text string")
     pairs, members = neardup.similar_sets(df, "id", "text")
     assert pairs.count() == 0 and members.count() == 0
+    assert neardup.groups(df, "id", "text").count() == 0
 
 
 def test_source_states(spark):
