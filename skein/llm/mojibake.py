@@ -1,10 +1,14 @@
 """Text that was decoded with the wrong character encoding: found and restored.
 
 All words of the corpus are counted. Every distinct word is put through all
-chains of one right and one wrong encoding (some of them twice over), and the
-garbled forms are hash-joined with the words that occur. A word that occurs and
-is the garbled form of a more frequent word is garbled; documents are joined
-with this table, and the originals are put back in place.
+chains of one right and one wrong encoding, and through all pairs of wrong
+encodings one after the other; a Bloom filter of the words that occur drops the
+forms that nobody holds where they are made, and the others are hash-joined with
+the words that occur. A word that occurs and is the garbled form of another word
+is garbled; documents are joined with this table, and the originals are put back
+in place. Where a chain can be run both ways, the word that is less oddly written
+is the original, then the one that more different texts hold; copies of a text
+weigh nothing beside that.
 
 ASCII words pass through 8-bit encodings unharmed; of them only the forms that
 arise from taking two bytes for one UTF-16 unit, or one unit for two bytes, are
@@ -15,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,14 +27,14 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from skein.runtime import materialize
+from skein.runtime import materialize, materialize_counting, spread
 
 # Encodings in which texts are written, and as which they are misread.
 WRITTEN = "cp1252 cp1250 cp1251 cp1253 cp1258 latin-1 iso8859_2 iso8859_5 iso8859_7 koi8_r cp437 cp850 cp852 cp866 cp737 mac_roman mac_latin2 mac_cyrillic mac_greek shift_jis euc_jp gbk big5 euc_kr".split()  # noqa: SIM905
 MISREAD = "cp1252 latin-1 cp437 cp850 cp852 mac_roman mac_latin2 cp1250 cp1251 cp1253 koi8_r cp866 iso8859_2 iso8859_5 iso8859_7 mac_cyrillic".split()  # noqa: SIM905
 MISREAD_WIDE = "gbk shift_jis big5 euc_kr euc_jp".split()  # noqa: SIM905
-TWICE = "cp1252 latin-1 cp437 cp850 mac_roman cp1250 cp1251".split()  # noqa: SIM905
 
 _WORD = re.compile(r"[A-Za-z0-9_\x80-\U0010ffff]+")
 _ASCII_WORD = re.compile(r"[A-Za-z]{5,}")
@@ -51,50 +56,84 @@ def _table(codec: str) -> tuple[str, bool]:
     return "".join(out), gaps
 
 
-def _misread(data: bytes, codec: str) -> set[str]:
-    """How bytes look in an 8-bit encoding, by each way of treating bytes it leaves open."""
+def _misread(data: bytes, codec: str) -> list[str]:
+    """How bytes look in an 8-bit encoding, by each way of treating bytes it leaves open; these left as they are come first."""
     table, gaps = _table(codec)
     text = data.decode("latin-1").translate(table)
     if not gaps:
-        return {text}
-    out = {text}
-    for errors in ("ignore", "replace"):
-        out.add(data.decode(codec, errors))
-    return out
+        return [text]
+    return list(dict.fromkeys([text, data.decode(codec, "ignore"), data.decode(codec, "replace")]))
+
 
+@lru_cache(maxsize=32)
+def _letters(codec: str) -> frozenset[str] | None:
+    """All characters of an 8-bit encoding; None for a wider one."""
+    return None if codec in MISREAD_WIDE else frozenset(bytes(range(256)).decode(codec, "ignore"))
 
-def _wide(data: bytes, codec: str) -> set[str]:
-    return {data.decode(codec, "replace"), data.decode(codec, "ignore")}
 
+def _encoded(words: list[str], codec: str) -> list[tuple[int, bytes]]:
+    """(place, bytes) of the words that an encoding can write."""
+    letters = _letters(codec)
+    out = []
+    for i, word in enumerate(words):
+        if letters is None or letters.issuperset(word):
+            try:
+                out.append((i, word.encode(codec)))
+            except UnicodeEncodeError:
+                continue
+    return out
 
-def garbled_forms(word: str) -> Iterator[tuple[str, bool]]:
-    """(form, one_way) of a word under all chains; one_way forms cannot be originals of the word."""
-    utf = word.encode("utf-8", "surrogatepass")
+
+def garbled_forms(words: list[str]) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """Lists of (place of the word, form), one for each chain; one_way chains lead to no originals.
+
+    Chains: UTF-8 read as any of MISREAD or MISREAD_WIDE; UTF-8 read as any of
+    MISREAD, written as UTF-8 and read as any of MISREAD again; any of WRITTEN
+    read as UTF-8, MISREAD or MISREAD_WIDE. 8-bit readings go over all words at
+    once, with a line break between words, which no word holds.
+    """
+    places = range(len(words))
+    joined = "\n".join(words).encode("utf-8", "surrogatepass")
     for codec in MISREAD:
-        for once in _misread(utf, codec):
-            yield once, True
-            if codec in TWICE:
-                again = once.encode("utf-8", "surrogatepass")
-                for second in dict.fromkeys((codec, "cp1252")):
-                    for twice in _misread(again, second):
-                        yield twice, True
+        for once in _misread(joined, codec):
+            yield list(zip(places, once.split("\n"), strict=True)), True
+            again = once.encode("utf-8", "surrogatepass")
+            for second in MISREAD:
+                for twice in _misread(again, second):
+                    yield list(zip(places, twice.split("\n"), strict=True)), True
     for codec in MISREAD_WIDE:
-        for once in _wide(utf, codec):
-            yield once, True
+        for errors in ("replace", "ignore"):
+            yield [(i, w.encode("utf-8", "surrogatepass").decode(codec, errors)) for i, w in zip(places, words, strict=True)], True
     for written in WRITTEN:
-        try:
-            data = word.encode(written)
-        except UnicodeEncodeError:
+        able = _encoded(words, written)
+        if not able:
             continue
-        lost = data.decode("utf-8", "replace")
-        if "\ufffd" in lost:  # else it would be the undoing of a misreading
-            yield lost, True
+        lost = [(i, d.decode("utf-8", "replace")) for i, d in able]
+        yield [(i, f) for i, f in lost if "\ufffd" in f], True  # else it would be the undoing of a misreading
+        spots, data = [i for i, _ in able], b"\n".join(d for _, d in able)
         for codec in MISREAD:
             for form in _misread(data, codec):
-                yield form, False
+                yield list(zip(spots, form.split("\n"), strict=True)), False
         for codec in MISREAD_WIDE:
-            for form in _wide(data, codec):
-                yield form, False
+            for errors in ("replace", "ignore"):
+                yield [(i, d.decode(codec, errors)) for i, d in able], False
+
+
+def oddness(word: str) -> int:
+    """How many places of a word are unusual in writing: a small letter before a capital, letters of two scripts side
+    by side, control characters. Digits, underscores, punctuation and symbols are usual everywhere."""
+    odd = sum(unicodedata.category(c) == "Cc" for c in word)
+    for a, b in zip(word, word[1:], strict=False):
+        if a.isalpha() and b.isalpha():
+            odd += (a.islower() and b.isupper()) or _script(a) != _script(b)
+    return odd
+
+
+@lru_cache(maxsize=4096)
+def _script(letter: str) -> str:
+    """The script in a letter's name; the scripts of East Asian texts, which stand side by side, count as one."""
+    name = unicodedata.name(letter, "").partition(" ")[0]
+    return "CJK" if name in ("HIRAGANA", "KATAKANA", "HANGUL", "KATAKANA-HIRAGANA") else name
 
 
 def unit_forms(word: str) -> Iterator[str]:
@@ -147,18 +186,19 @@ def _iter(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, word, n): texts of each partition that hold the word; kind -1 are ASCII words."""
+    """(kind, word, text, n): the words of each text with its digest; ASCII words, of kind -1, only counted by batch."""
     for _, texts in _iter(batches):
-        seen: Counter = Counter()
+        plain_words: Counter = Counter()
+        rows: Counter = Counter()
         for text in texts:
             if not plain(text):
-                seen.update(set(words_of(text)))
-            seen.update({(-1, w) for w in _ASCII_WORD.findall(text)})
-        if seen:
-            kinds, words = zip(*seen, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kinds, type=pa.int32()), pa.array(words, type=pa.string()), pa.array(list(seen.values()), type=pa.int64())], names=["kind", "word", "n"]
-            )
+                digest = xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+                rows.update({(kind, word, digest) for kind, word in words_of(text)})
+            plain_words.update(set(_ASCII_WORD.findall(text)))
+        out = [(*key, n) for key, n in rows.items()] + [(-1, w, 0, n) for w, n in plain_words.items()]
+        if out:
+            kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["kind", "word", "text", "n"])
 
 
 def _doc_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,44 +223,112 @@ def _key_column(name: str) -> Column:
     return F.when(F.char_length(name) > LONG, F.concat(F.lit("\0"), F.sha2(F.col(name).cast("binary"), 256))).otherwise(F.col(name))
 
 
-def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+FILTER_BYTES = 8 << 20  # the largest filter of words that is sent to the workers; beyond it all forms are joined
+
+
+class Present:
+    """A Bloom filter of join keys with two probes, as bytes; without bytes it lets everything through."""
+
+    def __init__(self, bits: bytes | None):
+        self.bits = bits
+        self.size = 8 * len(bits or b"")
+
+    def may_hold(self, kind: int, form: str) -> bool:
+        if self.bits is None:
+            return True
+        h = xxh64_intdigest(form.encode("utf-8", "surrogatepass"), 42 + kind)
+        return all(self.bits[at >> 3] >> (at & 7) & 1 for at in (h % self.size, (h >> 20) % self.size))
+
+
+def _mark(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The places of the filter's bits that a partition's keys set."""
+    for batch in batches:
+        at: set[int] = set()
+        for kind, form in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            h = xxh64_intdigest(form.encode("utf-8", "surrogatepass"), 42 + kind)
+            at.update((h % size, (h >> 20) % size))
+        yield pa.RecordBatch.from_arrays([pa.array(list(at), type=pa.int64())], names=["at"])
+
+
+def _present(words: DataFrame, n: int) -> Present:
+    """The filter of ``words`` (kind, form): 16 bits for each, as bitmaps that Spark puts together; None beyond FILTER_BYTES."""
+    maps = -(-n * 16 // 32768) or 1
+    if maps * 4096 > FILTER_BYTES:
+        return Present(None)
+    size = maps * 32768
+    marked = words.mapInArrow(lambda it: _mark(it, size), "at long").groupBy(F.floor(F.col("at") / 32768).alias("k")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("bits"))
+    out = bytearray(maps * 4096)
+    for row in marked.collect():  # at most FILTER_BYTES
+        out[row["k"] * 4096 : (row["k"] + 1) * 4096] = row["bits"]
+    return Present(bytes(out))
+
+
+_BETWEEN = re.compile(r"[\x00-\x2f\x3a-\x40\x5b-\x5e\x60\x7b-\x7f]")  # what no word holds
+
+
+def _forms(batches: Iterator[pa.RecordBatch], present: Present) -> Iterator[pa.RecordBatch]:
+    may_hold = present.may_hold
+
+    def made(out: set[tuple]) -> Iterator[pa.RecordBatch]:
+        if out:
+            kinds = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
+            names = ["kind", "form", "original", "n", "one_way"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
     for batch in batches:
         for start in range(0, batch.num_rows, 500):
             part = batch.slice(start, 500)
             out: set[tuple] = set()
+            rows = []
             for kind, word, n in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                original = _key(word)
                 if kind == -1:
-                    out.update((UNITS, _key(f), original, n, True) for f in unit_forms(word))
-                    continue
-                for form, one_way in garbled_forms(word):
+                    out.update((UNITS, _key(f), _key(word), n, True) for f in unit_forms(word) if may_hold(UNITS, _key(f)))
+                else:
+                    rows.append((kind, word, _key(word), n))
+            words = [r[1] for r in rows]
+            for chain, one_way in garbled_forms(words) if words else ():
+                for i, form in chain:
+                    kind, word, original, n = rows[i]
                     if form == word or form.isascii():
                         continue
                     if kind == WHOLE:
-                        pieces = [p for p in _WORD.findall(form) if not p.isascii()]
-                        whole = len(pieces) == 1 and pieces[0] == form
-                        out.update((kind, _key(p), original if whole else None, n, one_way) for p in pieces if whole or len(p) > 3)
-                    elif kind == CORE or (one_way and sum(c > "\x7f" for c in form) > 1):
-                        out.add((kind, _key(form), original, n, one_way))
-            if out:
-                cols = list(zip(*out, strict=True))
-                kinds = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)], names=["kind", "form", "original", "n", "one_way"])
+                        if not _BETWEEN.search(form):
+                            if may_hold(kind, key := _key(form)):
+                                out.add((kind, key, original, n, one_way))
+                        else:
+                            pieces = (_key(p) for p in _WORD.findall(form) if len(p) > 3 and not p.isascii())
+                            out.update((kind, p, None, n, one_way) for p in pieces if may_hold(kind, p))
+                    elif (kind == CORE or (one_way and sum(c > "\x7f" for c in form) > 1)) and may_hold(kind, key := _key(form)):
+                        out.add((kind, key, original, n, one_way))
+            yield from made(out)
+
+
+def _worth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, word, worth): how likely a word is an original, compared in order: less oddly written, in more different texts, more letters, fewer capitals."""
+    for batch in batches:
+        worth = [[-oddness(w), n, sum(map(str.isalpha, w)), -sum(map(str.isupper, w))] for w, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(worth, type=pa.list_(pa.int64()))], names=["kind", "word", "worth"])
 
 
 def garbled_words(texts: DataFrame) -> DataFrame:
-    """(kind, word, original): the words that are garbled, with the most frequent word they can stand for.
+    """(kind, word, original): the words that are garbled, with the word they stand for, of several the most frequent.
 
     original is null where the word is a piece of a garbled form that was cut by
     ASCII characters. ``texts``: table_name, record_key, text.
     """
-    counted = texts.mapInArrow(_count, "kind int, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
-    words = materialize(counted, "words")
-    forms = words.mapInArrow(_forms, "kind int, form string, original string, n long, one_way boolean")
-    present = words.filter("kind >= 0").select("kind", _key_column("word").alias("form"), F.col("n").alias("n_garbled"))
-    hit = forms.join(present, ["kind", "form"]).filter("original is null or original <> form")
-    # Two 8-bit encodings can be taken for each other both ways; then the more frequent word is the original.
-    hit = hit.filter("one_way or n > n_garbled")
+    each = texts.mapInArrow(_count, "kind int, word string, text long, n long")
+    once = each.groupBy("kind", "word", "text").agg(F.sum("n").alias("copies"))
+    once = once.groupBy("kind", "word").agg(F.sum(F.when(F.col("kind") == -1, F.col("copies")).otherwise(1)).alias("n"))
+    words, seen = materialize_counting(once, "words", foreign=F.count_if(F.col("kind") >= 0))
+    held = words.filter("kind >= 0").select("kind", _key_column("word").alias("form"))
+    present = _present(held, seen["foreign"] or 0)
+    forms = spread(words).mapInArrow(lambda it: _forms(it, present), "kind int, form string, original string, n long, one_way boolean").distinct()
+    hit = forms.join(held.distinct(), ["kind", "form"]).filter("original is null or original <> form")
+    # Two 8-bit encodings can be taken for each other both ways: then the better word is the original.
+    worth = materialize(words.filter("kind >= 0").mapInArrow(_worth, "kind int, word string, worth array<long>"), "worth")
+    of = lambda name: worth.select("kind", _key_column("word").alias(name), F.col("worth").alias(f"worth_{name}"))
+    told = hit.filter("not one_way").join(of("form"), ["kind", "form"]).join(of("original"), ["kind", "original"]).filter("worth_original > worth_form")
+    hit = hit.filter("one_way").select("kind", "form", "original", "n").unionByName(told.select("kind", "form", "original", "n"))
     found = hit.groupBy("kind", "form").agg(F.max_by("original", F.struct(F.col("original").isNotNull(), "n", "original")).alias("original"))
     long = words.filter(F.char_length("word") > LONG)
     of_form = long.select("kind", _key_column("word").alias("form"), F.col("word").alias("long_word"))
@@ -271,7 +379,7 @@ def _put_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 return token
 
             if any(p["kind"] == UNITS for p in pairs or ()):
-                restored.append(_undo_units(text))
+                restored.append(_undo_units(text, {p["original"] for p in pairs if p["kind"] == UNITS and p["original"]}))
                 count, left = count + 1, restored[-1] is None
                 restored[-1] = restored[-1] or text
             else:
@@ -284,26 +392,20 @@ def _put_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _undo_units(text: str) -> str | None:
-    if "\0" in text:
-        # A zero byte that was cut off at the end is put back.
-        padded = text + "\0" * (len(text) % 2)
-        for codec in ("utf-16-le", "utf-16-be"):
-            try:
-                out = padded[: len(padded) // 2 * 2].encode("latin-1").decode(codec)
-            except UnicodeError:
-                continue
-            if sum(c.isascii() for c in out) > 0.5 * len(out):
-                return out
-        return None
-    for codec in ("utf-16-le", "utf-16-be"):
+def _undo_units(text: str, originals: set[str]) -> str | None:
+    """A text whose UTF-16 units were split or joined, put right: the reading that holds the originals found."""
+    # A zero byte that was cut off at the end is put back.
+    ways = [(text + "\0" * (len(text) % 2), "latin-1", c) for c in ("utf-16-le", "utf-16-be")] if "\0" in text else [(text, c, "utf-8") for c in ("utf-16-le", "utf-16-be")]
+    best, most = None, 0
+    for padded, written, read in ways:
         try:
-            out = text.encode(codec).decode("utf-8")
+            out = padded.encode(written).decode(read)
         except UnicodeError:
             continue
-        if sum(c.isascii() for c in out) > 0.6 * len(out):
-            return out
-    return None
+        held = sum(o in out for o in originals)
+        if held > most:
+            best, most = out, held
+    return best
 
 
 def restore(texts: DataFrame) -> DataFrame:
