@@ -96,10 +96,14 @@ class Grammar:
             return b
         if b == EPS:
             return a
-        node = self.node[a]
-        if node[0] == "cat":
-            return self.make(("cat", node[1], self.cat(node[2], b)))
-        return self.make(("cat", a, b))
+        heads = []
+        while self.node[a][0] == "cat":
+            heads.append(self.node[a][1])
+            a = self.node[a][2]
+        out = self.make(("cat", a, b))
+        for head in reversed(heads):
+            out = self.make(("cat", head, out))
+        return out
 
     def alt(self, options: Iterable[int]) -> int:
         flat = set()
@@ -124,6 +128,7 @@ class Grammar:
                 return
 
     def _null(self, n: int, true: set[str]) -> bool:
+        """Nullability of a rule's body, given the rules known to be nullable."""
         node = self.node[n]
         kind = node[0]
         if kind in ("empty", "tok"):
@@ -135,35 +140,61 @@ class Grammar:
         return (all if kind == "cat" else any)(self._null(x, true) for x in (node[1:] if kind == "cat" else node[1]))
 
     def nullable(self, n: int) -> bool:
-        known = self.null[n]
-        if known is None:
-            known = self.null[n] = self._null(n, self.null_rules)
-        return known
+        null, waiting = self.null, [n]
+        while waiting:
+            at = waiting[-1]
+            node = self.node[at]
+            kind = node[0]
+            if null[at] is not None:
+                waiting.pop()
+            elif kind in ("tok", "star", "ref"):
+                null[at] = kind == "star" or (kind == "ref" and node[1] in self.null_rules)
+            else:
+                parts = node[1:] if kind == "cat" else node[1]
+                known = [null[x] for x in parts]
+                settled = (False in known) if kind == "cat" else (True in known)
+                if settled or None not in known:
+                    null[at] = (kind == "alt") == settled
+                else:
+                    waiting.append(parts[known.index(None)])
+        return null[n]
 
     # -- derivatives
     def derive(self, n: int, t: int) -> int:
-        key = n * self.size + t
-        known = self.memo.get(key)
-        if known is not None:
-            return known
-        node = self.node[n]
-        kind = node[0]
-        if kind == "tok":
-            out = EPS if node[1] == t else EMPTY
-        elif kind == "cat":
-            out = self.cat(self.derive(node[1], t), node[2])
-            if self.nullable(node[1]):
-                out = self.alt([out, self.derive(node[2], t)])
-        elif kind == "alt":
-            out = self.alt([self.derive(x, t) for x in node[1]])
-        elif kind == "star":
-            out = self.cat(self.derive(node[1], t), n)
-        elif kind == "ref":
-            out = self.derive(self.rules[node[1]], t)
-        else:
-            out = EMPTY
-        self.memo[key] = out
-        return out
+        """The derivative of an expression by a token class; nested as deep as may be, it takes no call for a level."""
+        memo, size, waiting = self.memo, self.size, [n]
+        while waiting:
+            at = waiting[-1]
+            if at * size + t in memo:
+                waiting.pop()
+                continue
+            node = self.node[at]
+            kind = node[0]
+            if kind == "cat":
+                parts = [node[1], node[2]] if self.nullable(node[1]) else [node[1]]
+            elif kind == "alt":
+                parts = node[1]
+            elif kind == "star":
+                parts = [node[1]]
+            else:
+                parts = [self.rules[node[1]]] if kind == "ref" else []
+            made = [memo.get(x * size + t) for x in parts]
+            if None in made:
+                waiting.extend(x for x, m in zip(parts, made, strict=True) if m is None)
+                continue
+            if kind == "cat":
+                out = self.cat(made[0], node[2])
+                out = self.alt([out, made[1]]) if len(made) > 1 else out
+            elif kind == "alt":
+                out = self.alt(made)
+            elif kind == "star":
+                out = self.cat(made[0], at)
+            elif kind == "ref":
+                out = made[0]
+            else:
+                out = EPS if kind == "tok" and node[1] == t else EMPTY
+            memo[at * size + t] = out
+        return memo[n * size + t]
 
     def _forget(self) -> None:
         """Drop all memoised derivatives and what was made for them."""

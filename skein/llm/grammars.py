@@ -120,12 +120,15 @@ TRY CATCH THROW MATCHED TARGET SOURCE OUTPUT OUT RETURNS AFTER INSTEAD ROWS RANG
 FIRST LAST PRECEDING FOLLOWING UNBOUNDED ROW CAST TRY_CAST INCLUDE READONLY LOGIN TYPE SYNONYM SEQUENCE SCHEMABINDING
 ENCRYPTION RECOMPILE CALLER OWNER SELF GO NOCOUNT MAX WORK TIES XML PATH AUTO VALUE ENABLE DISABLE PERSISTED DELAY TIME
 LOCAL FAST_FORWARD STATIC FORWARD_ONLY READ_ONLY GLOBAL KEYSET DYNAMIC PRIOR CALLED NO ACTION NOWAIT LOG SETERROR START
+HASH LOOP REMOTE ROLLUP CUBE GROUPING SETS AT ZONE SYSTEM_TIME CONTAINED IIF PARSE TRY_PARSE XMLNAMESPACES COLUMNSTORE
+REBUILD SWITCH TRANSFER SIGNATURE COUNTER CERTIFICATE FN REPEATABLE SYSTEM SPLIT MASKED HIDDEN PERIOD GENERATED ALWAYS SPARSE
+COOKIE SCHEME
 """.split()  # noqa: SIM905
 
 _TSQL = re.compile(
     r"(?P<ws>[\s\x00-\x1f\x85\xa0﻿​]+)|(?P<line>--[^\n]*)|(?P<block>/\*)|(?P<string>[Nn]?'(?:[^']|'')*')|(?P<bracket>\[(?:[^\]]|\]\])*\])|(?P<quoted>\"(?:[^\"]|\"\")*\")"
-    r"|(?P<number>0[xX][0-9a-fA-F]*(?![\w])|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?(?![\w@#$])|\$\d+(?:\.\d+)?)|(?P<var>@@?[\w@#$]+)|(?P<name>(?:[^\W\d]|[_#])[\w@#$]*)"
-    r"|(?P<op><=|>=|<>|!=|!<|!>|\+=|-=|\*=|/=|%=|&=|\|=|\^=|::|[-+*/%&|^~<>=(),;.:])"
+    r"|(?P<number>0[xX][0-9a-fA-F]*(?![\w])|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?(?![\w@#$])|\$\d+(?:\.\d+)?)|(?P<var>@@?[\w@#$]+)|(?P<name>(?:[^\W\d]|[_#])(?:[\w@#$]|[^\x00-\x9f\s\u200b\ufeff])*)"
+    r"|(?P<op><=|>=|<>|!=|!<|!>|\+=|-=|\*=|/=|%=|&=|\|=|\^=|::|[-+*/%&|^~<>=(),;.:{}])"
 )
 _BLOCK = re.compile(r"/\*|\*/")
 _GO = re.compile(r"[ \t]*GO(?:[ \t]+\d+)?[ \t]*;?[ \t]*(?:--[^\n]*)?\r?(?=\n|\Z)", re.I)
@@ -137,7 +140,11 @@ def _tsql_words() -> dict[str, str]:
 
 
 def tsql_tokens(text: str) -> Iterator[Token]:
-    """Tokens of T-SQL; block comments nest, GO alone on its line is BATCH."""
+    """Tokens of T-SQL; block comments nest, GO alone on its line is BATCH.
+
+    A name starts with a letter and goes on over any characters beyond ASCII
+    but blanks: letters that a wrong decoding turned into symbols end no name.
+    """
     words = _tsql_words()
     match = _TSQL.match
     at, end = 0, len(text)
@@ -213,7 +220,15 @@ function = FUNCTION dotted '(' [parameters] ')' RETURNS (type [WITH option {{','
 trigger = TRIGGER dotted ON (dotted | DATABASE | ALL name) [WITH option {{',' option}}] (AFTER | FOR | INSTEAD OF) event {{',' event}} [WITH name] AS body
 event = INSERT | UPDATE | DELETE | name
 
-statement = query_full | with_dml | insert | update | delete | merge | declare | set | exec | if | while | block | try | transaction | print | use | truncate | create | alter | drop | grant | return | raise | cursor | BREAK | CONTINUE | GOTO name | waitfor | name ':' | dbcc | toggle
+statement = query_full | with_dml | insert | update | delete | merge | declare | set | exec | if | while | block | try | transaction | print | use | truncate | create | alter | drop | grant | return | raise | cursor | BREAK | CONTINUE | GOTO name | waitfor | name ':' | dbcc | toggle | bulk | backup | statistics | context | signature
+bulk = BULK INSERT dotted FROM STRING [WITH '(' table_option {{[','] table_option}} ')']
+backup = (BACKUP | RESTORE) (DATABASE | LOG | name) (name | VAR) {{',' (name | VAR)}} [(TO | FROM) (name | DISK) '=' (STRING | VAR) {{',' (name | DISK) '=' (STRING | VAR)}}] [WITH backup_option {{',' backup_option}}] | RESTORE name FROM (name | DISK) '=' (STRING | VAR) [WITH backup_option {{',' backup_option}}]
+backup_option = name [STRING [TO STRING] | '=' (STRING | NUMBER | VAR | name)] | NOCHECK | CHECKPOINT | FILE '=' NUMBER
+statistics = UPDATE STATISTICS dotted [name | '(' names ')'] [WITH statistic {{',' statistic}}]
+statistic = name ['=' (NUMBER | ON | OFF)] | name NUMBER (PERCENT | ROWS) | FULL | ALL | INDEX
+context = EXEC AS (CALLER | OWNER | SELF | (name | USER) '=' (STRING | VAR)) [WITH (NO REVERT | COOKIE INTO VAR)] | REVERT [WITH COOKIE '=' VAR] | SETUSER [STRING]
+signature = (ADD | DROP) [COUNTER] SIGNATURE (TO | FROM) [name '::'] dotted BY signer {{',' signer}}
+signer = (CERTIFICATE | name KEY) name [WITH (name '=' STRING | SIGNATURE '=' NUMBER)]
 dbcc = DBCC name ['(' [expr {{',' expr}}] ')'] [WITH name {{',' name}}] | CHECKPOINT | RECONFIGURE [WITH name] | KILL expr
 toggle = (ENABLE | DISABLE) TRIGGER (names | ALL) ON (dotted | DATABASE)
 try = BEGIN TRY {{';'}} statements END TRY {{';'}} BEGIN CATCH {{';'}} [statements] END CATCH
@@ -237,21 +252,24 @@ exec = EXEC [VAR '='] (dotted | VAR) [argument {{',' argument}}] [WITH name] | E
 argument = [VAR '='] (value [OUTPUT | OUT])
 value = signed | STRING | NULL | DEFAULT | VAR | dotted
 
-with_dml = WITH cte {{',' cte}} (query | insert | update | delete | merge)
+with_dml = WITH (cte {{',' cte}} | XMLNAMESPACES '(' namespace {{',' namespace}} ')' {{',' cte}}) (query | insert | update | delete | merge)
+namespace = STRING AS name | DEFAULT STRING
 cte = name ['(' names ')'] AS '(' query_full ')'
 query_full = query
-query = query_term {{(UNION [ALL] | EXCEPT | INTERSECT) query_term}} [ORDER BY order {{',' order}} [OFFSET expr (ROW | ROWS) [FETCH (FIRST | NEXT) expr (ROW | ROWS) ONLY]]] [FOR (XML | name) {{name | ',' | '(' STRING ')'}}] [OPTION '(' hint {{',' hint}} ')']
+query = query_term {{(UNION [ALL] | EXCEPT | INTERSECT) query_term}} query_end
+query_end = [ORDER BY order {{',' order}} [OFFSET expr (ROW | ROWS) [FETCH (FIRST | NEXT) expr (ROW | ROWS) ONLY]]] [FOR (XML | name) {{name | ',' | '(' STRING ')'}}] [OPTION '(' hint {{',' hint}} ')']
 hint = (name | FOR | MERGE | HOLDLOCK | GROUP | ORDER | JOIN | UNION) {{name | NUMBER | JOIN | GROUP | ORDER | UNION | FOR | '(' NUMBER ')'}}
 query_term = select | '(' query ')'
-select = SELECT [ALL | DISTINCT] [TOP (NUMBER | VAR | '(' expr ')') [PERCENT] [WITH TIES]] item {{',' item}} [INTO dotted] [FROM sources] [WHERE cond] [GROUP BY grouping {{',' grouping}}] [HAVING cond]
-grouping = expr | name '(' grouping {{',' grouping}} ')'
+select = SELECT [ALL | DISTINCT] [TOP (NUMBER | VAR | '(' expr ')') [PERCENT] [WITH TIES]] item {{',' item}} [INTO dotted] [FROM sources] [WHERE cond] [GROUP BY [ALL] grouping {{',' grouping}} [WITH (ROLLUP | CUBE)]] [HAVING cond]
+grouping = expr | '(' ')' | (ROLLUP | CUBE) '(' grouping {{',' grouping}} ')' | GROUPING SETS '(' grouping_set {{',' grouping_set}} ')' | row
+grouping_set = grouping
 item = '*' | expr [[AS] (name | STRING)] | dotted '.' '*' | VAR assign expr | (name | STRING) '=' expr
 order = expr [COLLATE name] [ASC | DESC]
 sources = source {{',' source}}
 source = table {{join}}
-join = ([INNER | (LEFT | RIGHT | FULL) [OUTER]] [MERGE | name_hash] JOIN source ON cond) | CROSS JOIN table | (CROSS | OUTER) APPLY table
-name_hash = NEVER
-table = (dotted ['(' [expr {{',' expr}}] ')'] | VAR ['.' name '(' expr ')'] | OPENQUERY '(' name ',' STRING ')' | OPENROWSET '(' expr {{',' expr}} ')') [alias] [WITH '(' table_hint {{',' table_hint}} ')' | WITH '(' json_column {{',' json_column}} ')'] [pivot] | '(' query ')' alias ['(' names ')'] [pivot] | '(' VALUES row {{',' row}} ')' alias ['(' names ')'] | '(' source ')'
+join = ([INNER | (LEFT | RIGHT | FULL) [OUTER]] [MERGE | HASH | LOOP | REMOTE] JOIN source ON cond) | CROSS JOIN table | (CROSS | OUTER) APPLY table
+table = (dotted [FOR SYSTEM_TIME period] [TABLESAMPLE [SYSTEM] '(' expr [PERCENT | ROWS] ')' [REPEATABLE '(' expr ')']] | dotted ['(' [expr {{',' expr}}] ')'] | VAR ['.' name '(' expr ')'] | OPENQUERY '(' name ',' STRING ')' | OPENROWSET '(' expr {{',' expr}} ')') [alias] [WITH '(' table_hint {{',' table_hint}} ')' | WITH '(' json_column {{',' json_column}} ')'] [pivot] | '(' query ')' alias ['(' names ')'] [pivot] | '(' VALUES row {{',' row}} ')' alias ['(' names ')'] | '(' source ')'
+period = AS OF value | FROM value TO value | BETWEEN value AND value | CONTAINED IN '(' value ',' value ')' | ALL
 json_column = name type [STRING] [AS name]
 alias = [AS] name
 table_hint = name ['(' (name | NUMBER) {{',' (name | NUMBER)}} ')'] | HOLDLOCK | INDEX '(' (name | NUMBER) ')'
@@ -266,29 +284,39 @@ delete = DELETE [TOP '(' expr ')' [PERCENT]] [FROM] (dotted | VAR) [WITH '(' tab
 merge = MERGE [TOP '(' expr ')'] [INTO] (dotted | VAR) [WITH '(' table_hint {{',' table_hint}} ')'] [alias] USING table ON cond when {{when}} [output] [OPTION '(' hint {{',' hint}} ')']
 when = WHEN [NOT] MATCHED [BY (TARGET | SOURCE)] [AND cond] THEN (UPDATE SET setting {{',' setting}} | DELETE | INSERT ['(' names ')'] (VALUES row | DEFAULT VALUES))
 
-create = CREATE (TABLE dotted ['(' columns ')'] [ON name ['(' name ')']] [WITH '(' table_option {{',' table_option}} ')'] | [UNIQUE] [CLUSTERED | NONCLUSTERED] INDEX name ON dotted '(' index_column {{',' index_column}} ')' [INCLUDE '(' names ')'] [WHERE cond] [WITH '(' table_option {{',' table_option}} ')'] [ON name] | SCHEMA name [AUTHORIZATION name] | TYPE dotted (FROM type [NOT NULL | NULL] | AS TABLE '(' columns ')') | SYNONYM dotted FOR dotted | SEQUENCE dotted {{AS type | name [BY] [signed] | START WITH signed | NO name}} | (USER | LOGIN | name) name {{(FOR | FROM | WITH) (LOGIN name | name ['=' (name | STRING)])}} | STATISTICS name ON dotted '(' names ')' | DATABASE name)
-table_option = (name | FILLFACTOR | name) '=' (name | NUMBER | ON | OFF)
+create = CREATE (TABLE dotted ['(' columns ')'] [ON name ['(' name ')']] [WITH '(' table_option {{',' table_option}} ')'] | [UNIQUE] [CLUSTERED | NONCLUSTERED] [COLUMNSTORE] INDEX name ON dotted ['(' index_column {{',' index_column}} ')'] [INCLUDE '(' names ')'] [WHERE cond] [WITH '(' table_option {{',' table_option}} ')'] [ON (name | PRIMARY) ['(' name ')']] | SCHEMA name [AUTHORIZATION name] | TYPE dotted (FROM type [NOT NULL | NULL] | AS TABLE '(' columns ')') | SYNONYM dotted FOR dotted | SEQUENCE dotted {{AS type | name [BY] [signed] | START WITH signed | NO name}} | (USER | LOGIN | name) name {{(FOR | FROM | WITH) (LOGIN name | name ['=' (name | STRING)])}} | STATISTICS name ON dotted '(' names ')' | DATABASE name | PARTITION FUNCTION name '(' type ')' AS RANGE [LEFT | RIGHT] FOR VALUES '(' [expr {{',' expr}}] ')' | PARTITION SCHEME name AS PARTITION name [ALL] TO '(' file_group {{',' file_group}} ')' | CERTIFICATE name {{name | WITH | '=' | STRING | ','}})
+file_group = name | PRIMARY
+table_option = (name | FILLFACTOR) ['=' (name | NUMBER | STRING | ON | OFF)] | ORDER '(' index_column {{',' index_column}} ')'
 index_column = name [ASC | DESC]
 columns = column {{',' column}} [',']
-column = name (type | AS expr [PERSISTED]) {{column_rule}} | [CONSTRAINT name] table_rule | INDEX name {{UNIQUE | CLUSTERED | NONCLUSTERED}} '(' index_column {{',' index_column}} ')'
-column_rule = [CONSTRAINT name] (NOT NULL | NULL | PRIMARY KEY [CLUSTERED | NONCLUSTERED] | UNIQUE [CLUSTERED | NONCLUSTERED] | DEFAULT expr | CHECK '(' cond ')' | [FOREIGN KEY] reference) | IDENTITY ['(' signed ',' signed ')'] | ROWGUIDCOL | COLLATE name
+column = name (type | AS expr [PERSISTED]) {{column_rule}} | [CONSTRAINT name] table_rule | PERIOD FOR SYSTEM_TIME '(' name ',' name ')' | INDEX name {{UNIQUE | CLUSTERED | NONCLUSTERED}} '(' index_column {{',' index_column}} ')'
+column_rule = [CONSTRAINT name] (NOT NULL | NULL | PRIMARY KEY [CLUSTERED | NONCLUSTERED] | UNIQUE [CLUSTERED | NONCLUSTERED] | DEFAULT expr | CHECK '(' cond ')' | [FOREIGN KEY] reference) | IDENTITY ['(' signed ',' signed ')'] [NOT FOR REPLICATION] | ROWGUIDCOL | SPARSE | GENERATED ALWAYS AS (ROW | name) (START | END | name) [HIDDEN] | MASKED WITH '(' name '=' STRING ')' | COLLATE name
 table_rule = (PRIMARY KEY | UNIQUE) [CLUSTERED | NONCLUSTERED] '(' index_column {{',' index_column}} ')' [WITH '(' table_option {{',' table_option}} ')'] [ON name] | FOREIGN KEY '(' names ')' reference | CHECK '(' cond ')' | DEFAULT expr FOR name
 reference = REFERENCES dotted ['(' names ')'] {{ON (DELETE | UPDATE) (CASCADE | SET (NULL | DEFAULT) | NO ACTION)}}
-alter = ALTER TABLE dotted [WITH (CHECK | NOCHECK)] (ADD column {{',' column}} | DROP (CONSTRAINT | COLUMN) [IF EXISTS] names | ALTER COLUMN name type [COLLATE name] [NOT NULL | NULL] | (CHECK | NOCHECK) CONSTRAINT (names | ALL) | (ENABLE | DISABLE) TRIGGER (names | ALL) | SWITCH TO dotted) | ALTER INDEX (name | ALL) ON dotted name [WITH '(' table_option {{',' table_option}} ')'] | ALTER (ROLE | name) name (ADD | DROP) name name | ALTER DATABASE (name | CURRENT) SET name {{name}} (ON | OFF | name) | ALTER SCHEMA name name_transfer dotted
-name_transfer = TRANSFER
+alter = ALTER TABLE dotted [WITH (CHECK | NOCHECK)] (ADD column {{',' column}} | DROP (CONSTRAINT | COLUMN) [IF EXISTS] names | ALTER COLUMN name type [COLLATE name] [NOT NULL | NULL] | (CHECK | NOCHECK) CONSTRAINT (names | ALL) | (ENABLE | DISABLE) TRIGGER (names | ALL) | SWITCH [PARTITION expr] TO dotted [PARTITION expr] | REBUILD [PARTITION '=' (ALL | expr)] [WITH '(' table_option {{',' table_option}} ')'] | SET '(' table_option {{',' table_option}} ')') | ALTER INDEX (name | ALL) ON dotted (name | SET '(' table_option {{',' table_option}} ')') [PARTITION '=' (ALL | expr)] [WITH '(' table_option {{',' table_option}} ')'] | ALTER (ROLE | name) name (ADD | DROP) name name | ALTER DATABASE (name | CURRENT) SET name {{name}} (ON | OFF | name) | ALTER SCHEMA name TRANSFER [(name | TYPE) '::'] dotted | ALTER PARTITION FUNCTION name '(' ')' (SPLIT | MERGE) RANGE '(' expr ')' | ALTER PARTITION SCHEME name NEXT name [name] | ALTER AUTHORIZATION ON [(name | SCHEMA | TYPE | DATABASE) '::'] dotted TO (name | SCHEMA OWNER)
 drop = DROP (TABLE | VIEW | PROCEDURE | FUNCTION | TRIGGER | SCHEMA | TYPE | SYNONYM | SEQUENCE | DATABASE | USER | name) [IF EXISTS] dotted {{',' dotted}} | DROP INDEX [IF EXISTS] dotted [ON dotted] | DROP STATISTICS dotted
 grant = (GRANT | DENY | REVOKE [GRANT OPTION FOR]) right {{',' right}} [ON [(name | SCHEMA | TYPE) '::'] dotted ['(' names ')']] (TO | FROM) (name | PUBLIC) {{',' (name | PUBLIC)}} [WITH GRANT OPTION] [CASCADE]
 right = (SELECT | INSERT | UPDATE | DELETE | EXEC | REFERENCES | ALTER | ALL | CREATE (TABLE | VIEW | PROCEDURE | FUNCTION) | VIEW name | name) ['(' names ')']
 
 cond = cond_one {{(AND | OR) cond_one}}
 cond_one = {{NOT}} cond_base
-cond_base = EXISTS '(' query ')' | '(' cond ')' | expr test | UPDATE '(' name ')' | (CONTAINS | FREETEXT) '(' (dotted | '*' | '(' names ')') ',' expr ')'
-test = compare (expr | (ALL | ANY | SOME) '(' query ')') | IS [NOT] NULL | [NOT] (IN '(' (query | expr {{',' expr}}) ')' | LIKE expr [ESCAPE expr] | BETWEEN expr AND expr)
+cond_base = special | sign group {{postfix}} more [test] | sign plain {{postfix}} more test
+special = EXISTS '(' query ')' | UPDATE '(' name ')' | (CONTAINS | FREETEXT) '(' (dotted | '*' | '(' names ')') ',' expr ')'
+test = compare (expr | (ALL | ANY | SOME) '(' query ')') | IS [NOT] (NULL | DISTINCT FROM expr) | [NOT] (IN '(' (query | expr {{',' expr}}) ')' | LIKE expr [ESCAPE expr] | BETWEEN expr AND expr)
 compare = '=' | '<>' | '<' | '>' | '<=' | '>=' | '!=' | '!<' | '!>'
-expr = unit {{('+' | '-' | '*' | '/' | '%' | '&' | '|' | '^') unit}}
-unit = {{'+' | '-' | '~'}} base {{COLLATE name | '.' name '(' [expr {{',' expr}}] ')'}}
-base = STRING | NUMBER | NULL | DEFAULT | VAR | case | call | '(' (expr | query) ')' | NEXT VALUE FOR dotted | CURRENT_TIMESTAMP | CURRENT_USER | SESSION_USER | SYSTEM_USER | USER
-call = dotted ['(' [DISTINCT | ALL] [('*' | expr) {{',' expr}}] ')' [WITHIN GROUP '(' ORDER BY order {{',' order}} ')'] [OVER '(' over ')']] | (CAST | TRY_CAST) '(' expr AS type ')' | (CONVERT | TRY_CONVERT) '(' type ',' expr [',' expr] ')' | (COALESCE | NULLIF | LEFT | RIGHT | IDENTITY) '(' [type ','] expr {{',' expr}} ')' | '$' name
+expr = unit more
+more = {{('+' | '-' | '*' | '/' | '%' | '&' | '|' | '^') unit}}
+unit = sign (group | plain) {{postfix}}
+sign = {{'+' | '-' | '~'}}
+postfix = COLLATE name | '.' name '(' [expr {{',' expr}}] ')' | AT name ZONE unit
+group = '(' inside ')'
+inside = select set_tail | with_less [set_tail_more]
+with_less = inside_one {{(AND | OR) inside_one}}
+inside_one = {{NOT}} (special | expr [test])
+set_tail = {{(UNION [ALL] | EXCEPT | INTERSECT) query_term}} query_end
+set_tail_more = (UNION [ALL] | EXCEPT | INTERSECT) query_term set_tail
+plain = STRING | NUMBER | NULL | DEFAULT | VAR | case | call | NEXT VALUE FOR dotted | CURRENT_TIMESTAMP | CURRENT_USER | SESSION_USER | SYSTEM_USER | USER | '{{' FN call '}}' | '{{' name STRING '}}'
+call = dotted ['(' [DISTINCT | ALL] [('*' | expr) {{',' expr}}] [FROM expr] ')' [WITHIN GROUP '(' ORDER BY order {{',' order}} ')'] [OVER ('(' over ')' | name)]] | (CAST | TRY_CAST) '(' expr AS type ')' | (CONVERT | TRY_CONVERT) '(' type ',' expr [',' expr] ')' | (COALESCE | NULLIF | LEFT | RIGHT | IDENTITY) '(' [type ','] expr {{',' expr}} ')' | IIF '(' cond ',' expr ',' expr ')' | (PARSE | TRY_PARSE) '(' expr AS type [USING expr] ')' | '$' name
 over = [PARTITION BY expr {{',' expr}}] [ORDER BY order {{',' order}}] [(ROWS | RANGE) (bound | BETWEEN bound AND bound)]
 bound = UNBOUNDED (PRECEDING | FOLLOWING) | CURRENT ROW | NUMBER (PRECEDING | FOLLOWING)
 case = CASE (expr WHEN expr THEN expr {{WHEN expr THEN expr}} | WHEN cond THEN expr {{WHEN cond THEN expr}}) [ELSE expr] END
@@ -301,18 +329,74 @@ False None True and as assert async await break class continue def del elif else
 import in is lambda nonlocal not or pass raise return try while with yield
 """.split()  # noqa: SIM905
 
+# Words of Python that are names except at the start of some statements.
+PY_SOFT = ("match", "case", "type")
+
 _PY = re.compile(
     r"(?P<ws>[ \t\f]+|\\\r?\n)|(?P<comment>#[^\n]*)|(?P<nl>\r?\n)"
-    r"|(?P<string>(?:[rRbBuU]|[fF]|[rR][bBfF]|[bBfF][rR])?(?:'''(?:[^\\]|\\.)*?'''|\"\"\"(?:[^\\]|\\.)*?\"\"\"|'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"))"
-    r"|(?P<number>(?:0[xX][0-9a-fA-F_]+|0[oO][0-7_]+|0[bB][01_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?[jJ]?)(?!\w))|(?P<name>[^\W\d]\w*)"
+    r"|(?P<string>(?:[rRbBuU]|[fF]|[rR][bBfF]|[bBfF][rR])?(?:'''(?:[^\\]|\\.)*?'''|\"\"\"(?:[^\\]|\\.)*?\"\"\"|'(?!'')(?:[^'\\\n]|\\.)*'|\"(?!\"\")(?:[^\"\\\n]|\\.)*\"))"
+    r"|(?P<number>(?:0[xX][0-9a-fA-F_]+|0[oO][0-7_]+|0[bB][01_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?[jJ]?)(?!\w))|(?P<name>[^\W\d](?:\w|[^\x00-\x9f\s])*)"
     r"|(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|->|:=|==|!=|<=|>=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|\*\*|//|<<|>>|[-+*/%@&|^~<>()\[\]{},:.;=])",
     re.S,
 )
 
 
+_PY_FORMATTED = re.compile(r"(?:[fF][rR]?|[rR][fF])('{3}|\"{3}|'|\")")
+_PY_LITERAL = re.compile(r"[rRbBuU]{0,2}(?:'''(?:[^\\]|\\.)*?'''|\"\"\"(?:[^\\]|\\.)*?\"\"\"|'(?!'')(?:[^'\\\n]|\\.)*'|\"(?!\"\")(?:[^\"\\\n]|\\.)*\")", re.S)
+_PY_WORD = re.compile(r"\w+|#[^\n]*")
+
+
+def _formatted_end(text: str, at: int, quote: str) -> int:
+    """Where the formatted literal ends whose text begins at ``at``, or -1; its fields may hold literals with the same quotes."""
+    modes = ["text"]  # text, field or format; a field also counts its open brackets
+    depth: list[int] = []
+    while at < len(text):
+        c = text[at]
+        if modes[-1] != "field":
+            if text.startswith(quote, at):
+                return at + len(quote) if len(modes) == 1 else -1
+            if c == "\n" and len(quote) == 1:
+                return -1
+            if text.startswith("\\N{", at):
+                at = text.find("}", at) + 1 or len(text)
+            elif c == "\\" and text[at + 1 : at + 2] not in ("{", "}"):
+                at += 2
+            elif modes[-1] == "text" and text[at : at + 2] in ("{{", "}}"):
+                at += 2
+            elif c == "}":
+                if modes.pop() == "text":
+                    return -1
+                modes.pop()
+                depth.pop()
+                at += 1
+            else:
+                if c == "{":
+                    modes.append("field")
+                    depth.append(0)
+                at += 1
+        elif m := _PY_FORMATTED.match(text, at):
+            at = _formatted_end(text, m.end(), m.group(1))
+            if at < 0:
+                return -1
+        elif m := _PY_LITERAL.match(text, at) or _PY_WORD.match(text, at):
+            at = m.end()
+        elif c in "'\"":
+            return -1
+        else:
+            if c == "}" and not depth[-1]:
+                modes.pop()
+                depth.pop()
+            elif c == ":" and not depth[-1]:
+                modes.append("format")
+            else:
+                depth[-1] += (c in "([{") - (c in ")]}")
+            at += 1
+    return -1
+
+
 def python_tokens(text: str) -> Iterator[Token]:
     """Tokens of Python with NEWLINE, INDENT and DEDENT."""
-    keywords = set(PY_KEYWORDS)
+    keywords = {*PY_KEYWORDS, *PY_SOFT}
     text = text.removeprefix("﻿")
     indents, depth, at, fresh = [0], 0, 0, True
     ended = True
@@ -333,6 +417,13 @@ def python_tokens(text: str) -> Iterator[Token]:
                     return
             at, fresh = here, False
             continue
+        if text[at] in "fFrR" and (f := _PY_FORMATTED.match(text, at)):
+            end = _formatted_end(text, f.end(), f.group(1))
+            yield ("STRING" if end >= 0 else "BAD"), at
+            if end < 0:
+                return
+            at, ended = end, False
+            continue
         m = _PY.match(text, at)
         if m is None:
             yield "BAD", at
@@ -367,24 +458,24 @@ PY_GRAMMAR = """
 file = {statement}
 statement = simple | compound
 simple = small {';' small} [';'] NEWLINE
-small = expressions [{'=' right} | augment right | ':' test ['=' right]] | 'del' expressions | 'pass' | 'break' | 'continue' | 'return' [expressions] | 'raise' [test ['from' test]] | 'global' NAME {',' NAME} | 'nonlocal' NAME {',' NAME} | 'assert' test [',' test] | import
+small = expressions [{'=' right} | augment right | ':' test ['=' right]] | 'del' expressions | 'pass' | 'break' | 'continue' | 'return' [expressions] | 'raise' [test ['from' test]] | 'global' name {',' name} | 'nonlocal' name {',' name} | 'assert' test [',' test] | import | 'type' name [type_parameters] '=' test
 augment = '+=' | '-=' | '*=' | '/=' | '//=' | '%=' | '@=' | '&=' | '|=' | '^=' | '>>=' | '<<=' | '**='
 right = expressions
-import = 'import' dotted ['as' NAME] {',' dotted ['as' NAME]} | 'from' ({'.' | '...'} dotted | {'.' | '...'} ('.' | '...')) 'import' ('*' | as_names | '(' as_names [','] ')')
-as_names = NAME ['as' NAME] {',' NAME ['as' NAME]}
-dotted = NAME {'.' NAME}
-compound = if | while | for | try | with | def | class | decorated | 'async' (def | with | for)
+import = 'import' dotted ['as' name] {',' dotted ['as' name]} | 'from' ({'.' | '...'} dotted | {'.' | '...'} ('.' | '...')) 'import' ('*' | as_names | '(' as_names [','] ')')
+as_names = name ['as' name] {',' name ['as' name]}
+dotted = name {'.' name}
+compound = match | if | while | for | try | with | def | class | decorated | 'async' (def | with | for)
 if = 'if' named ':' suite {'elif' named ':' suite} ['else' ':' suite]
 while = 'while' named ':' suite ['else' ':' suite]
 for = 'for' targets 'in' expressions ':' suite ['else' ':' suite]
 try = 'try' ':' suite (except {except} ['else' ':' suite] ['finally' ':' suite] | 'finally' ':' suite)
-except = 'except' ['*'] [test {',' test} ['as' NAME]] ':' suite
+except = 'except' ['*'] [test {',' test} ['as' name]] ':' suite
 with = 'with' (with_item {',' with_item} | '(' with_item {',' with_item} [','] ')') ':' suite
 with_item = test ['as' target]
-def = 'def' NAME '(' [parameters] ')' ['->' test] ':' suite
+def = 'def' name [type_parameters] '(' [parameters] ')' ['->' test] ':' suite
 parameters = parameter {',' parameter} [',']
-parameter = NAME [':' test] ['=' test] | '*' [NAME [':' test]] | '**' NAME [':' test] | '/'
-class = 'class' NAME ['(' [arguments] ')'] ':' suite
+parameter = name [':' test] ['=' test] | '*' [name [':' star]] | '**' name [':' test] | '/'
+class = 'class' name [type_parameters] ['(' [arguments] ')'] ':' suite
 decorated = '@' named NEWLINE ({'@' named NEWLINE}) ('async' def | def | class)
 suite = simple | NEWLINE INDENT statement {statement} DEDENT
 expressions = star {',' star} [',']
@@ -395,7 +486,7 @@ target = ['*'] bitor_no_in
 bitor_no_in = bitor
 test = or ['if' or 'else' test] | lambda | 'yield' ['from' test | expressions]
 lambda = 'lambda' [lambda_parameter {',' lambda_parameter} [',']] ':' test
-lambda_parameter = NAME ['=' test] | '*' [NAME] | '**' NAME | '/'
+lambda_parameter = name ['=' test] | '*' [name] | '**' name | '/'
 or = and {'or' and}
 and = not {'and' not}
 not = {'not'} comparison
@@ -405,15 +496,26 @@ bitor = arith {('|' | '^' | '&' | '<<' | '>>') arith}
 arith = factor {('+' | '-' | '*' | '/' | '//' | '%' | '@' | '**') factor}
 factor = {'+' | '-' | '~'} ['await'] power
 power = atom {trailer}
-trailer = '(' [arguments] ')' | '[' subscripts ']' | '.' NAME
+trailer = '(' [arguments] ')' | '[' subscripts ']' | '.' name
 subscripts = subscript {',' subscript} [',']
 subscript = named | '*' bitor | [test] ':' [test] [':' [test]]
 arguments = argument {',' argument} [',']
-argument = named [comp] | NAME '=' test | '*' test | '**' test
-comp = ['async'] 'for' targets 'in' or {['async'] 'for' targets 'in' or | 'if' or}
-atom = NAME | NUMBER | STRING {STRING} | 'None' | 'True' | 'False' | '...' | '(' [star (comp | {',' star} [','])] ')' | '[' [star (comp | {',' star} [','])] ']' | '{' [dict_or_set] '}'
+argument = named [comp] | name '=' test | '*' test | '**' test
+comp = ['async'] 'for' targets 'in' or {['async'] 'for' targets 'in' or | 'if' (named | lambda)}
+atom = name | NUMBER | STRING {STRING} | 'None' | 'True' | 'False' | '...' | '(' [star (comp | {',' star} [','])] ')' | '[' [star (comp | {',' star} [','])] ']' | '{' [dict_or_set] '}'
 dict_or_set = entry ({',' entry} [','] | comp) | star ({',' star} [','] | comp)
 entry = test ':' test | '**' bitor
+match = 'match' expressions ':' NEWLINE INDENT case {case} DEDENT
+case = 'case' patterns ['if' named] ':' suite
+patterns = pattern_star {',' pattern_star} [',']
+pattern_star = '*' name | pattern
+pattern = pattern_one {'|' pattern_one} ['as' name]
+pattern_one = ['-'] NUMBER [('+' | '-') NUMBER] | STRING {STRING} | 'None' | 'True' | 'False' | name {'.' name} ['(' [argument_pattern {',' argument_pattern} [',']] ')'] | '(' [patterns] ')' | '[' [patterns] ']' | '{' [entry_pattern {',' entry_pattern} [',']] '}'
+argument_pattern = [name '='] pattern
+entry_pattern = pattern_one ':' pattern | '**' name
+type_parameters = '[' type_parameter {',' type_parameter} [','] ']'
+type_parameter = ['*' | '**'] name [':' test] ['=' star]
+name = NAME | 'match' | 'case' | 'type'
 """
 
 LEXERS = {"tsql": tsql_tokens, "json": json_tokens, "xml": xml_tokens, "python": python_tokens}
@@ -440,4 +542,4 @@ def _unclosed(text: str, at: int, lang: str) -> bool:
     """Whether what is no token is a literal, comment or tag that the end of the text cuts off."""
     if lang == "xml":
         return text.startswith("<", at) and ">" not in text[at:]
-    return text.startswith({"json": '"', "python": ("'", '"')}.get(lang, ("/*", "'", '"', "[", "N'", "n'")), at)
+    return text.startswith({"json": '"', "python": ("'", '"', "f'", 'f"', "F'", 'F"')}.get(lang, ("/*", "'", '"', "[", "N'", "n'")), at)
