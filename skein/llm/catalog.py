@@ -87,6 +87,11 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each document that looks like a different one: its class and the class's size."""
+    return lookalike.lookalike_classes(spread(load(spark, d, "documents")), "text", "doc_id")
+
+
 def p9_unified(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.unified(load(spark, d, "documents"), "text", ["doc_id"])
 
@@ -103,6 +108,7 @@ QUERIES = {
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
     "p9_found": p9_found,
+    "p9_classes": p9_classes,
     "p9_unified": p9_unified,
 }
 

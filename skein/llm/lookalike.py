@@ -25,13 +25,18 @@ from skein.runtime import materialize
 
 LIMIT = 0x110000
 
-# Letters of other scripts that have the shape of a Latin letter.
+# Letters of other scripts that have the shape of a Latin letter of the same case: Cyrillic, Greek, Armenian, Coptic, Cherokee, Lisu, phonetic.
 SAME_SHAPE = {
-    "АВЕЅІЈКМНОРСТУХҮҺԚԜ": "ABESIJKMHOPCTYXYhQW",
-    "асеіјорѕухһԁԛԝү": "aceijopsyxhdqwy",
-    "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ": "ABEZHIKMNOPTYX",
-    "οϲϳ": "ocj",
-    "օ": "o",
+    "АВЕЅІӀЈКМНОРСТУХҮҺԌԚԜѴ": "ABESIIJKMHOPCTYXYhGQWV",
+    "асеіӏјорѕухһԁԛԝүѵ": "aceiljopsyxhdqwyv",
+    "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ": "ABEZHIKMNOPTYXCJ",
+    "αινορυϲϳ": "aivopucj",
+    "ՍՏՕԼ": "USOL",
+    "հոսօցզ": "hnuogq",
+    "ⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬ": "BHIKMNOPCTYX",
+    "ⲟⲣⲥ": "opc",
+    "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏒᏔᏕᏙᏚᏞᏟᏢᏦᏴ": "DRTAJEWMHYGZRWSVSLCPKB",
+    "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ": "BPDTGKJCZFMNLSRVHWXYAEIOU",
     "ɑɡ": "ag",
 }
 # Code points without a visible form, as inclusive ranges.
@@ -227,15 +232,39 @@ def digests(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return rows.mapInArrow(_digests, schema)
 
 
-def lookalike_pairs(df: DataFrame, text: str, key: str) -> DataFrame:
-    """(a, b), a < b: keys of texts that look the same but differ in characters.
+def _mixed(df: DataFrame, text: str, key: str) -> DataFrame:
+    """(key, form, exact) of the texts whose form stands for several different texts.
 
-    Forms with one text only, however often it is repeated, leave after a
+    Forms of one text only, however often it is repeated, leave after a
     pre-aggregated count, so only real look-alikes are joined.
     """
     rows = materialize(digests(df, text, [key]), "digests")
     mixed = rows.groupBy("form").agg(F.min("exact").alias("lo"), F.max("exact").alias("hi")).filter("lo <> hi").select("form")
-    left = materialize(rows.join(mixed, "form"), "lookalikes")
-    a = left.select("form", F.col("exact").alias("exact_a"), F.col(key).alias("a"))
-    b = left.select("form", F.col("exact").alias("exact_b"), F.col(key).alias("b"))
-    return a.join(b, "form").filter("a < b and exact_a <> exact_b").select("a", "b")
+    return materialize(rows.join(mixed, "form").select(key, "form", "exact"), "lookalikes")
+
+
+def lookalike_pairs(df: DataFrame, text: str, key: str) -> DataFrame:
+    """(a, b), a < b: keys of texts that look the same but differ in characters.
+
+    Different texts of a form are paired first, one row for each text however
+    many copies it has; both sides are then given their copies. So what is
+    joined is in proportion to the result, and copies of one text never meet.
+    """
+    rows = _mixed(df, text, key)
+    texts = rows.select("form", "exact").distinct()
+    both = texts.withColumnRenamed("exact", "x").join(texts.withColumnRenamed("exact", "y"), "form").filter("x < y")
+    of = lambda side, name: rows.select("form", F.col("exact").alias(side), F.col(key).alias(name))
+    pairs = both.join(of("x", "one"), ["form", "x"]).join(of("y", "two"), ["form", "y"])
+    return pairs.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"))
+
+
+def lookalike_classes(df: DataFrame, text: str, key: str) -> DataFrame:
+    """(key, class_key, n_texts, n_members): one row for each text that looks like a different one.
+
+    class_key is the least key of its form, n_texts the different texts of the
+    form and n_members all of its rows, copies included.
+    """
+    rows = _mixed(df, text, key)
+    per = rows.groupBy("form", "exact").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("least"))
+    per = per.groupBy("form").agg(F.min("least").alias("class_key"), F.count(F.lit(1)).alias("n_texts"), F.sum("n").alias("n_members"))
+    return rows.join(per, "form").select(key, "class_key", "n_texts", "n_members")

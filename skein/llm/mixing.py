@@ -26,6 +26,8 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
     document is used more than max_repeats times, so a source that is too small
     falls short; the shortfall is reported, not given to others. Sources without
     a target are used 0 times, targets without documents appear with 0 tokens.
+    A null max_repeats counts as 1, a null target_share as 0; of several targets
+    of a source the greatest values count.
     Documents of 0 tokens go along with their place in the order.
 
     Returns (doc_id, source, n_tokens, repeats) with repeats > 0, and per source
@@ -36,7 +38,7 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
     if total_tokens is None:
         total_tokens = rows.agg(F.sum("n_tokens")).first()[0] or 0  # one number
     goals = targets.groupBy(source_key("source").alias("source")).agg(
-        F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")
+        F.max("target_share").alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats")
     )
     budget = F.floor(F.coalesce("target_share", F.lit(0.0)) * F.lit(total_tokens)).cast("long")
     plan = goals.join(per, "source", "full").select(

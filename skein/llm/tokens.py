@@ -124,6 +124,20 @@ def encode_words(words: list[bytes], table: Merges) -> tuple[np.ndarray, np.ndar
     return sym[alive], np.bincount(word[alive], minlength=len(words))
 
 
+class Growing:
+    """An array that is added to; its room doubles, so each value is copied a bounded number of times."""
+
+    def __init__(self, dtype):
+        self.room, self.used = np.zeros(1024, dtype=dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        need = self.used + len(values)
+        if need > len(self.room):
+            self.room = np.concatenate([self.room[: self.used], np.zeros(max(need, 2 * len(self.room)) - self.used, dtype=self.room.dtype)])
+        self.room[self.used : need] = values
+        self.used = need
+
+
 class Encoder:
     """Encodes batch after batch; pretokens met before are not encoded again."""
 
@@ -136,9 +150,9 @@ class Encoder:
 
     def reset(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids = np.zeros(0, dtype=np.int32)
-        self.starts = np.zeros(0, dtype=np.int64)
-        self.sizes = np.zeros(0, dtype=np.int64)
+        self.ids = Growing(np.int32)
+        self.starts = Growing(np.int64)
+        self.sizes = Growing(np.int64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and the number of ids of each."""
@@ -161,16 +175,16 @@ class Encoder:
             places.append(np.array(row, dtype=np.int32))
         if fresh:
             ids, sizes = encode_words([p.encode("utf-8", "surrogatepass") for p in fresh], self.table)
-            begin = len(self.ids) + np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
-            self.starts = np.concatenate([self.starts, begin])
-            self.sizes = np.concatenate([self.sizes, sizes])
+            begin = self.ids.used + np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            self.ids.add(ids)
+            self.starts.add(begin)
+            self.sizes.add(sizes)
         if not places:
             return np.zeros(0, dtype=np.int32), lengths
         at = np.concatenate(places)
-        sizes = self.sizes[at]
+        sizes = self.sizes.room[at]
         ends = np.cumsum(sizes)
-        out = self.ids[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        out = self.ids.room[np.repeat(self.starts.room[at] - (ends - sizes), sizes) + np.arange(ends[-1])]
         owner = np.repeat(np.arange(len(texts)), lengths)
         return out, np.bincount(owner, weights=sizes, minlength=len(texts)).astype(np.int64)
 

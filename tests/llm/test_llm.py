@@ -344,7 +344,7 @@ def test_mix_reaches_shares_within_repeats(spark):
     rng = random.Random(2)
     data = [(i, rng.choice([" Big", "big", "BIG\t"]), rng.randrange(0, 30)) for i in range(600)] + [(1000 + i, "small", 20) for i in range(10)] + [(2000 + i, "tiny", 10) for i in range(2)] + [(3000, None, 50), (3001, "untargeted", 50), (3002, "big", None)]
     sizes = spark.createDataFrame(data, "doc_id long, source string, n_tokens long").withColumn("_pos", F.lit(1))
-    targets = spark.createDataFrame([("big", 0.5, 1), ("SMALL", 0.3, 4), ("tiny", 0.1, 2), ("absent", 0.1, 3)], "source string, target_share double, max_repeats int")
+    targets = spark.createDataFrame([("big", 0.5, 1), ("SMALL", 0.3, 4), ("tiny", 0.1, 2), ("absent", 0.1, 3), ("big", None, None)], "source string, target_share double, max_repeats int")
     mixed, report = mixing.mix(sizes, targets, total_tokens=2000)
     out = {r["source"]: r for r in report.collect()}
     used = Counter()
@@ -385,7 +385,7 @@ def test_composition_equals_nfc():
 
 @pytest.mark.parametrize(
     ("a", "b"),
-    [("Ａｂｃ１（", "Abc1("), ("a\u200bb\u00ad\ufeff", "ab"), ("a\u00a0b\u2007c\u3000d", "a b c d"), ("e\u0301", "é"), ("раусе", "payce"), ("ΑΒΕΖ", "ABEZ"), ("\u1112\u1161\u11ab", "한"), ("ﬁn", "fin"), ("👩\u200d💻", "👩💻"), ("ё", "ë"), ("а\u0301", "á"), ("ｶﾞ", "ガ"), ("𝐀𝑏", "Ab")],
+    [("Ａｂｃ１（", "Abc1("), ("a\u200bb\u00ad\ufeff", "ab"), ("a\u00a0b\u2007c\u3000d", "a b c d"), ("e\u0301", "é"), ("раусе", "payce"), ("ΑΒΕΖ", "ABEZ"), ("\u1112\u1161\u11ab", "한"), ("ﬁn", "fin"), ("👩\u200d💻", "👩💻"), ("ё", "ë"), ("а\u0301", "á"), ("ｶﾞ", "ガ"), ("ν", "v"), ("ρ", "p"), ("ӏ", "l"), ("Ѵ", "V"), ("ոսհՏ", "nuhS"), ("ᎪᏢ", "AP"), ("ⲘⲟⲢ", "MoP"), ("ꓮꓳ", "AO"), ("ό", "ó"), ("𝐀𝑏", "Ab")],
 )
 def test_equal_looking_texts_become_equal(a, b):
     assert unified(a)[0] == unified(b)[0]
@@ -408,3 +408,11 @@ def test_lookalike_pairs(spark, rows):
     assert rows(lookalike.lookalike_pairs(df, "text", "doc_id")) == [(1, 2), (1, 3), (2, 3), (2, 4), (3, 4), (10, 11)]
     assert {r["doc_id"]: r["unified"] for r in lookalike.unified(df, "text", ["doc_id"]).collect()}[6] is None
     assert lookalike.lookalike_pairs(df.limit(0), "text", "doc_id").count() == 0
+    assert rows(lookalike.lookalike_classes(df, "text", "doc_id")) == [(1, 1, 3, 4), (2, 1, 3, 4), (3, 1, 3, 4), (4, 1, 3, 4), (10, 10, 2, 2), (11, 10, 2, 2)]
+    assert lookalike.lookalike_classes(df.limit(0), "text", "doc_id").count() == 0
+
+
+def test_many_copies_of_one_text_and_one_variant(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 1234, "licence\u00a0text").otherwise("licence text").alias("text"))
+    found = lookalike.lookalike_pairs(df, "text", "doc_id")
+    assert found.count() == 2999 and found.filter("a = 1234 or b = 1234").count() == 2999
