@@ -119,13 +119,18 @@ def garbled_forms(words: list[str]) -> Iterator[tuple[list[tuple[int, str]], boo
                 yield [(i, d.decode(codec, errors)) for i, d in able], False
 
 
+_JOINS = frozenset("'\u2019\u2018\u00b7_0123456789")  # what stands between the letters of a word
+
+
 def oddness(word: str) -> int:
-    """How many places of a word are unusual in writing: a small letter before a capital, letters of two scripts side
-    by side, control characters. Digits, underscores, punctuation and symbols are usual everywhere."""
+    """How many places of a word are unusual in writing: a capital after a small letter that starts no new part of a
+    name, letters of two scripts side by side, punctuation or symbols between letters, control characters."""
     odd = sum(unicodedata.category(c) == "Cc" for c in word)
-    for a, b in zip(word, word[1:], strict=False):
+    for a, b, c in zip(word, word[1:], word[2:] + " ", strict=False):
         if a.isalpha() and b.isalpha():
-            odd += (a.islower() and b.isupper()) or _script(a) != _script(b)
+            odd += (a.islower() and b.isupper() and not c.islower()) or _script(a) != _script(b)
+        elif a.isalpha() and c.isalpha() and b not in _JOINS:
+            odd += unicodedata.category(b)[0] in "PS" and unicodedata.category(b) != "Pd"
     return odd
 
 

@@ -288,6 +288,12 @@ def test_garbled_copies_outnumber_the_clean_text(spark):
     assert {r["record_key"] for r in mojibake.find_garbled(df)[0].collect()} == {k for n, k, _ in rows if n == "bad"}
 
 
+def test_what_is_odd_in_a_word():
+    usual = ["Übersicht", "¿falta", "l’année", "ReadingÜbersicht", "n°5", "AÇÃO", "更新表の", "データ", "─┐", "größte_2"]
+    assert {w: mojibake.oddness(w) for w in usual} == dict.fromkeys(usual, 0)
+    assert all(mojibake.oddness(w) for w in ["supprimÈ", "Pr¸fung", "Reading†bersicht", "aбc", "x\x81y"])
+
+
 @pytest.mark.parametrize("chain", [("cp1252", "cp437"), ("cp1252", "latin-1"), ("mac_roman", "cp437"), ("cp866", "koi8_r"), ("latin-1", "cp850")])
 def test_two_readings_one_after_the_other(spark, chain):
     clean = "-- größere Übersicht für Prüfung"
