@@ -328,7 +328,8 @@ def garbled_words(texts: DataFrame) -> DataFrame:
     held = words.filter("kind >= 0").select("kind", _key_column("word").alias("form"))
     present = _present(held, seen["foreign"] or 0)
     forms = spread(words).mapInArrow(lambda it: _forms(it, present), "kind int, form string, original string, n long, one_way boolean").distinct()
-    hit = forms.join(held.distinct(), ["kind", "form"]).filter("original is null or original <> form")
+    # Written once: chains that lead one way and those that lead both are told apart below.
+    hit = materialize(forms.join(held.distinct(), ["kind", "form"]).filter("original is null or original <> form"), "forms")
     # Two 8-bit encodings can be taken for each other both ways: then the better word is the original.
     worth = materialize(words.filter("kind >= 0").mapInArrow(_worth, "kind int, word string, worth array<long>"), "worth")
     of = lambda name: worth.select("kind", _key_column("word").alias(name), F.col("worth").alias(f"worth_{name}"))
