@@ -233,9 +233,22 @@ def key_offsets(rows: DataFrame, key: str) -> DataFrame:
     return counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
 
 
-def key_totals(rows: DataFrame, key: str) -> DataFrame:
-    """(key, n_rows): where the offsets of a key end. A count needs no more of the chunking: rows are neither numbered nor sorted."""
-    return key_offsets(rows, key).groupBy(key).agg(F.max(F.col("before") + F.col("n")).alias("n_rows"))
+def count_chunks(offsets: DataFrame, key: str, chunk_rows: int) -> DataFrame:
+    """(key, chunk, rows): how many rows each chunk of ``chunk_rows`` consecutive rows of a key holds, from its offsets.
+
+    The rows that a partition holds of a key are numbered from ``before`` on; a
+    count needs the ends of that run only, so the rows themselves stay where
+    they are.
+    """
+    first, last = F.floor(F.col("before") / chunk_rows), F.floor((F.col("before") + F.col("n") - 1) / chunk_rows)
+    runs = offsets.select(key, "before", (F.col("before") + F.col("n")).alias("end"), F.explode(F.sequence(first, last)).alias("chunk"))
+    inside = F.least("end", (F.col("chunk") + 1) * chunk_rows) - F.greatest("before", F.col("chunk") * chunk_rows)
+    return runs.groupBy(key, "chunk").agg(F.sum(inside).alias("rows"))
+
+
+def key_totals(rows: DataFrame, key: str, chunk_rows: int = 100_000) -> DataFrame:
+    """(key, n_rows): the rows of every key, merged from its chunks."""
+    return count_chunks(key_offsets(rows, key), key, chunk_rows).groupBy(key).agg(F.sum("rows").alias("n_rows"))
 
 
 def heavy_keys(stats: DataFrame, count: str, share: float) -> DataFrame:

@@ -86,7 +86,10 @@ def test_offsets_count_every_partition(spark):
     for k, n in want.items():
         own = sorted((r["part"], r["n"], r["before"]) for r in rows if r["k"] == k)
         assert [b for _, _, b in own] == [sum(n for _, n, _ in own[:i]) for i in range(len(own))] and sum(n for _, n, _ in own) == n
-    assert {r["k"]: r["n_rows"] for r in chunked.key_totals(df, "k").collect()} == dict(want)
+    chunks = chunked.count_chunks(chunked.key_offsets(df, "k"), "k", 7).collect()
+    for k, n in want.items():
+        assert sorted((r["chunk"], r["rows"]) for r in chunks if r["k"] == k) == [(c, min(7, n - 7 * c)) for c in range(-(-n // 7))]
+    assert {r["k"]: r["n_rows"] for r in chunked.key_totals(df, "k", 7).collect()} == dict(want)
     assert chunked.key_totals(df.limit(0), "k").count() == 0
 
 
