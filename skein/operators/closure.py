@@ -89,6 +89,13 @@ def impact_paths(graph: Graph, root: str, max_depth: int | None = None) -> DataF
     return out.select("path")
 
 
+def impact_tree(paths: DataFrame) -> DataFrame:
+    """(path, parent, name, depth): the nodes of the tree that impact_paths spans; the root's parent is null."""
+    return paths.select(
+        "path", F.when(F.size("path") > 1, F.element_at("path", -2)).alias("parent"), F.element_at("path", -1).alias("name"), (F.size("path") - 1).alias("depth")
+    )
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node_key, component) of the nodes that lie on some loop of more than one node.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions.names import fold, name_key, normal_source_id
 from skein.operators import closure, dead
 from skein.plans import graph as g
-from skein.plans import parse, repository, rules
+from skein.plans import parse, report, repository, rules
 from skein.plans.problems import TREE
 from skein.runtime import load as scan
 from skein.runtime import materialize, spread
@@ -98,6 +98,15 @@ def impact_paths(spark, d):
     return closure.impact_paths(_lineage(spark, d).cached(), ROOT).select(F.array_join("path", " > ").alias("path"))
 
 
+def impact_tree(spark, d):
+    """The tree of dependents below a region, one row for each node of it."""
+    return closure.impact_tree(closure.impact_paths(_lineage(spark, d).cached(), ROOT)).select("parent", "name", "depth")
+
+
+def graph_json_lines(spark, d):
+    return report.graph_lines(_lineage(spark, d))
+
+
 def cycles_events(spark, d):
     found = closure.cycles(_graph_of(_rings(spark, d)).cached())
     return found.select(F.array_join("members", ",").alias("members"), "is_self_reference", F.size("edges").cast("long").alias("n_edges"))
@@ -285,7 +294,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         corpus_edges, graph_nodes, graph_union, get_node, dependencies_of, dependents_of, cross_references, xref_outgoing, xref_incoming,
-        degrees, impact_region, impact_paths, cycles_events, dead_objects, dead_exclusions, rule_findings, severity_counts,
+        degrees, impact_region, impact_paths, impact_tree, graph_json_lines, cycles_events, dead_objects, dead_exclusions, rule_findings, severity_counts,
         key_objects_top20, repository_summary, repository_objects, object_inventory, scope_isolation, statement_counts, token_kinds,
         fk_edges, reference_forms, temporary_tables, parameters, variables, script_scopes, dynamic_sql, lint_counts, file_kinds, scan_summary,
         source_ids, stored_objects, stored_edges, stored_cycles, edge_cross_references, edge_degrees, edge_cycles, folded_names,
@@ -345,6 +354,11 @@ SELECT 0 AS ord, 'dbo.R0' AS name, 0 AS depth UNION ALL SELECT o, name, 1 FROM n
     "impact_paths": """SELECT 'dbo.R0' AS path UNION ALL SELECT 'dbo.R0 > dbo.N' || n_nationkey FROM nation WHERE n_regionkey = 0
 UNION ALL SELECT 'dbo.R0 > dbo.N' || n_nationkey || ' > dbo.C' || c_custkey FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey = 0
 UNION ALL SELECT 'dbo.R0 > dbo.N' || n_nationkey || ' > dbo.C' || c_custkey || ' > dbo.O' || o_orderkey FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey WHERE n_regionkey = 0""",
+    "impact_tree": """SELECT NULL AS parent, 'dbo.R0' AS name, 0 AS depth UNION ALL SELECT 'dbo.R0', 'dbo.N' || n_nationkey, 1 FROM nation WHERE n_regionkey = 0
+UNION ALL SELECT 'dbo.N' || n_nationkey, 'dbo.C' || c_custkey, 2 FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey = 0
+UNION ALL SELECT 'dbo.C' || c_custkey, 'dbo.O' || o_orderkey, 3 FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey WHERE n_regionkey = 0""",
+    "graph_json_lines": f"""{_ALL_NODES} SELECT 'node' AS part, '{{"name":"' || name || '","object_type":"' || object_type || '"}}' AS line FROM t
+UNION ALL SELECT DISTINCT 'edge', '{{"source":"' || source || '","target":"' || target || '","kind":"references"}}' FROM e""",
     "cycles_events": f"WITH {_RINGS} SELECT members, n = 1 AS is_self_reference, n AS n_edges FROM ring WHERE user_id % 2 = 0",
     "dead_objects": f"""{_ALL_NODES} SELECT name, object_type, false AS is_circular_component, '{dead.REASON}' AS reason FROM t WHERE object_type <> 'Unknown' AND name NOT IN (SELECT target FROM e)""",
     "dead_exclusions": f"""SELECT 'dbo.S' || s_suppkey AS name, 'Trigger' AS object_type, CASE WHEN s_suppkey = 1 THEN '{dead.DECLARED}' ELSE '{dead.IMPLICIT}' END AS reason FROM supplier""",

@@ -44,6 +44,12 @@ def write(text: str, path: str | Path, end: str = "\n") -> Path:
     return out
 
 
+def graph_lines(graph: Graph) -> DataFrame:
+    """(part, line): nodes and edges as one JSON object a row, made by the executors; ``write.text`` stores a graph of any size."""
+    nodes = graph.nodes.select(F.lit("node").alias("part"), F.to_json(F.struct("name", "object_type")).alias("line"))
+    return nodes.unionByName(named_edges(graph).select(F.lit("edge").alias("part"), F.to_json(F.struct("source", "target", "kind")).alias("line")))
+
+
 def graph_payload(graph: Graph) -> dict:
     edges = _rows(named_edges(graph), "src_key", "dst_key", "kind")
     return {

@@ -17,3 +17,15 @@ def test_cursor():
     assert c.take("FROM") is None and c.take("SELECT").value == "select" and c.take(symbol="(").value == "("
     c.skip_to("FROM")
     assert c.take().word == "FROM" and c.peek().value == "t" and c.peek(1) is None
+
+
+def test_public_names_and_lines(spark):
+    import skein
+
+    assert all(getattr(skein, name) is not None for name in skein.__all__)
+    a = skein.Analyzer(spark, "CREATE VIEW dbo.V AS SELECT * FROM dbo.T")
+    assert sorted(r["line"] for r in skein.graph_lines(a.graph).collect()) == [
+        '{"name":"dbo.T","object_type":"Unknown"}', '{"name":"dbo.V","object_type":"View"}', '{"source":"dbo.V","target":"dbo.T","kind":"references"}',
+    ]
+    tree = skein.impact_tree(a.impact_paths("dbo.t")).collect()
+    assert sorted((r["name"], r["parent"], r["depth"]) for r in tree) == [("dbo.T", None, 0), ("dbo.V", "dbo.T", 1)]
