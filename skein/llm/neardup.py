@@ -3,12 +3,12 @@
 Each text is the set of its runs of three words. Every tree of the forest
 labels a set with a sequence of LEVELS min-hashes, and the labels of a tree,
 sorted over range partitions, are its prefix trie: entries that share a prefix
-stand side by side. Matching starts with whole labels. The similarities of a
-bounded sample of entries that match there tell which length the least similar
-of them needs to be met with the target recall; prefixes are shortened to it,
-and what they match now is measured again, until it holds. Entries whose
-neighbours share less than that with them leave; what the others match is
-verified on the whole sets.
+stand side by side. Prefixes are short enough to meet two sets at the threshold with
+the target recall, whatever else the data holds. They are longer only where all
+entries together show that this loses nothing: where all that meet below a
+short prefix also share a longer one in some tree. Entries whose neighbours
+share less than that with them leave; what the others match is verified on the
+whole sets.
 
 For groups, neighbours in the sorted tries are verified first, which is linear
 in the number of texts; pairs below a prefix are looked at only where they lie
@@ -38,9 +38,6 @@ LEVELS = 8  # min-hashes of a label, two bytes each
 THRESHOLD = 0.7
 SHINGLE_WORDS = 3
 TARGET_RECALL = 0.9999
-SAMPLE_PREFIXES = 1000  # prefixes whose matches are measured, by hash order; up to SAMPLE_MEMBERS entries of each
-SAMPLE_MEMBERS = 8
-MARGIN = 0.05  # by which a measured similarity may be too high: two deviations of TREES x LEVELS min-hashes
 BLOCK = 128  # members of a prefix that meet in one step; larger groups meet block by block
 SKETCH = 64  # min-hashes that tell whether a pair is worth verifying
 DOUBT = 5.0  # deviations below the threshold up to which a sketch counts as near
@@ -172,11 +169,40 @@ def _trie(batches: Iterator[pa.RecordBatch], shortest: int) -> Iterator[pa.Recor
         yield out(held[0], held[1], held[2], [LEVELS], held[3], held[4])
 
 
-def _equal_shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The share of equal min-hashes of each pair of label rows."""
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tree, prefix, lo, hi) of rows that come sorted by prefix: one row for each, the least and the greatest min-hash at every place of its labels."""
+    held = None  # the last prefix, which may go on in the next batch
+
+    def out(at, lo, hi) -> pa.RecordBatch:
+        cols = [pa.array([t for t, _ in at], type=pa.int32()), pa.array([p for _, p in at], type=pa.binary()), *(pa.array([x.tobytes() for x in c], type=pa.binary()) for c in (lo, hi))]
+        return pa.RecordBatch.from_arrays(cols, names=["tree", "prefix", "lo", "hi"])
+
     for batch in batches:
-        one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=">u2").reshape(batch.num_rows, -1) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array((one == two).mean(axis=1) if batch.num_rows else np.zeros(0))], names=["share"])
+        if not batch.num_rows:
+            continue
+        at = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        lo, hi = _min_hashes(batch, 2), _min_hashes(batch, 3)
+        if held is not None:
+            at, lo, hi = held[0] + at, np.concatenate([held[1], lo]), np.concatenate([held[2], hi])
+        starts = [i for i in range(len(at)) if not i or at[i] != at[i - 1]]
+        at, lo, hi = [at[i] for i in starts], np.minimum.reduceat(lo, starts), np.maximum.reduceat(hi, starts)
+        if len(at) > 1:
+            yield out(at[:-1], lo[:-1], hi[:-1])
+        held = at[-1:], lo[-1:], hi[-1:]
+    if held is not None:
+        yield out(*held)
+
+
+def _shared_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The longest prefix that all labels between lo and hi share in some tree."""
+    for batch in batches:
+        if batch.num_rows:
+            same = (_min_hashes(batch, 2) == _min_hashes(batch, 3)).reshape(batch.num_rows, TREES, LEVELS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.cumprod(same, axis=2).sum(axis=2).max(axis=1), type=pa.int32())], names=["length"])
+
+
+def _min_hashes(batch: pa.RecordBatch, column: int) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(column).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1)
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch], least_equal: int) -> Iterator[pa.RecordBatch]:
@@ -270,36 +296,30 @@ def build_forest(
     entries = sets.select(F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "labels", "rep")
     entries = entries.select("tree", F.col("labels").substr(F.col("tree") * (2 * LEVELS) + 1, F.lit(2 * LEVELS)).alias("label"), "rep")
     tries = entries.repartitionByRange("tree", "label", "rep").sortWithinPartitions("tree", "label", "rep")
-    shortest = length_for(threshold, target)  # no measurement asks for less
+    shortest = length_for(threshold, target)  # meets the target for all pairs that count
     tries = materialize(tries.mapInArrow(lambda it: _trie(it, shortest), "tree int, label binary, rep long, near int, shared int, before long"), "tries")
-    forest = Forest(rows, signed.select("id", "digest"), sets, tries, LEVELS, threshold, words)
-    while (length := length_for(_least_similar(forest), target)) < forest.length:
-        forest.length = length
+    forest = Forest(rows, signed.select("id", "digest"), sets, tries, shortest, threshold, words)
+    forest.length = _lossless_length(forest)
     return forest
 
 
-def _least_similar(forest: Forest) -> float:
-    """The least similarity, from the threshold up, in a bounded sample of what matches at the present length.
+def _lossless_length(forest: Forest) -> int:
+    """The longest length such that all that stand below one prefix of the present length share a prefix of it in some tree.
 
-    Taken from whole signatures, less a margin for their error; 1 where nothing matches.
+    So no two entries that match at the present length are lost. Taken from all
+    entries. It is no longer than what each set shares with any neighbour; that
+    mostly settles it. Else the members of a prefix are folded, not paired, and
+    where they lie first, so no prefix fills a task.
     """
-    rows = forest.matching()
-    prefixes = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("tree", "prefix")
-    sampled = prefixes.orderBy(F.xxhash64("tree", "prefix"), "tree", "prefix").limit(SAMPLE_PREFIXES)
-    some = rows.join(F.broadcast(sampled), ["tree", "prefix"])  # at most SAMPLE_PREFIXES rows
-    some = some.groupBy("tree", "prefix", F.pmod(F.xxhash64("rep"), F.lit(SAMPLE_MEMBERS)).alias("slot")).agg(F.min("rep").alias("rep"))
-    members = some.groupBy("tree", "prefix").agg(F.array_sort(F.collect_list("rep")).alias("m"))
-    pairs = _all_pairs(members).distinct()
-    labels = forest.sets.select("rep", "labels")
-    pairs = pairs.join(labels.withColumnsRenamed({"rep": "a", "labels": "la"}), "a").join(labels.withColumnsRenamed({"rep": "b", "labels": "lb"}), "b")
-    least = pairs.select("la", "lb").mapInArrow(_equal_shares, "share double").filter(F.col("share") >= forest.threshold - 2 * MARGIN).agg(F.min("share")).first()[0]  # one number
-    return 1.0 if least is None else max(forest.threshold, least - MARGIN)
-
-
-def _all_pairs(members: DataFrame) -> DataFrame:
-    """(a, b) of all in a sorted list ``m`` of bounded size."""
-    firsts = members.select(F.posexplode("m").alias("i", "a"), "m")
-    return firsts.select("a", F.explode(F.slice("m", F.col("i") + 2, F.greatest(F.size("m") - F.col("i") - 1, F.lit(0)))).alias("b"))
+    bound = forest.tries.groupBy("rep").agg(F.max("near").alias("near")).agg(F.min("near")).first()[0]  # one number
+    if bound is None or bound <= forest.length:
+        return LEVELS if bound is None else forest.length
+    labels = forest.sets.select("rep", F.col("labels").alias("lo"), F.col("labels").alias("hi"))
+    spans = forest.matching().join(labels, "rep").select("tree", "prefix", "lo", "hi")
+    schema = "tree int, prefix binary, lo binary, hi binary"
+    spans = spans.sortWithinPartitions("tree", "prefix").mapInArrow(_spans, schema)
+    spans = spans.repartition("tree", "prefix").sortWithinPartitions("tree", "prefix").mapInArrow(_spans, schema)
+    return spans.mapInArrow(_shared_lengths, "length int").agg(F.min("length")).first()[0]  # one number
 
 
 def _candidates(forest: Forest, group: DataFrame | None = None) -> DataFrame:

@@ -89,6 +89,37 @@ def test_prefixes_are_as_long_as_what_matches_allows(spark, near_texts):
     assert long.length == neardup.LEVELS and neardup.recall(0.9, long.length) > neardup.TARGET_RECALL
 
 
+def test_few_pairs_at_the_threshold_among_many_copies(spark):
+    rng = random.Random(3)
+    texts = {}
+    for f in range(600):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        texts[f"c{f:04}a"], texts[f"c{f:04}b"] = " ".join(base), " ".join([*base, "end"])
+    for f in range(12):  # 74 of 102 runs are shared
+        base = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+        texts[f"d{f:04}a"], texts[f"d{f:04}b"] = " ".join(base), " ".join([*base[:76], *(f"x{f}y{i}" for i in range(14))])
+    pairs, members = neardup.similar_sets(spark.createDataFrame(list(texts.items()), "id string, text string"), "id", "text")
+    got = {(r["id_a"], r["id_b"]) for r in neardup.member_pairs(pairs, members).collect()}
+    assert got == {(f"{k}a", f"{k}b") for k in {key[:-1] for key in texts}} == _near(texts)
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2, 4])
+def test_longer_prefixes_lose_no_match(spark, edits):
+    rng = random.Random(edits)
+    texts = []
+    for f in range(5):
+        base = [f"w{f}x{i}" for i in range(100)]
+        texts += [(f"{f}-{m}", " ".join([_edited(rng, base, edits), f"v{m}"])) for m in range(5)]
+    forest = neardup.build_forest(spark.createDataFrame(texts, "id string, text string").repartition(3), "id", "text")
+    labels = [[r["labels"][i : i + 2 * neardup.LEVELS] for i in range(0, len(r["labels"]), 2 * neardup.LEVELS)] for r in forest.sets.collect()]
+
+    def met(length):
+        cut = [[label[: 2 * length] for label in row] for row in labels]
+        return {(i, j) for i, one in enumerate(cut) for j in range(i) if any(map(bytes.__eq__, one, cut[j]))}
+
+    assert 4 <= forest.length <= neardup.LEVELS and met(forest.length) == met(4) and met(4)
+
+
 def test_tries_hold_what_neighbours_share(spark, near_texts):
     forest = neardup.build_forest(spark.createDataFrame(list(near_texts.items()), "id string, text string"), "id", "text")
     labels = {r["rep"]: r["labels"] for r in forest.sets.collect()}
